@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from heirline.plans.adjacency import HOT_DEGREE, Adjacency, hot_limit, hot_vertices, salt_edges
 from heirline.plans.scratch import Scratch, Stored
-from heirline.sources.ingest import clean_edges, clean_nodes, problems, require_none
+from heirline.sources.ingest import bad_artifact, clean_edges, clean_nodes, problems, require_none
 
 BUCKET_BYTES = 256 << 20
 EDGE_BYTES = 48
@@ -41,9 +41,11 @@ class LineageGraph:
         self.spark: SparkSession = nodes.sparkSession
         self.scratch = scratch or Scratch(self.spark)
         self.hot_degree = hot_degree
-        self._nodes = self._keep(clean_nodes(nodes, unique=unique), "nodes")
-        self._edges = self._keep(clean_edges(edges, unique=unique), "edges")
-        if validate:
+        bad_node = F.count_if(bad_artifact())
+        bad_weight = F.count_if(F.isnan("weight"))
+        self._nodes = self._keep(clean_nodes(nodes, unique=unique), "nodes", figures={"bad": bad_node})
+        self._edges = self._keep(clean_edges(edges, unique=unique), "edges", figures={"bad": bad_weight})
+        if validate and (self._nodes.figures["bad"] or self._edges.figures["bad"] or self.degrees.figures["unknown"]):
             require_none(problems(self.nodes, self.edges), "catalog refused")
 
     def _keep(self, df: DataFrame, name: str, **options) -> Stored:
@@ -66,37 +68,59 @@ class LineageGraph:
         return self._edges.rows
 
     @cached_property
-    def in_degree(self) -> Stored:
-        """(node_id, degree) of vertices with parents."""
-        return self._degrees("dst")
+    def degrees(self) -> Stored:
+        """(node_id, in_degree, out_degree, known), zeros included, in one aggregation.
 
-    @cached_property
-    def out_degree(self) -> Stored:
-        """(node_id, degree) of vertices with children."""
-        return self._degrees("src")
-
-    def _degrees(self, end: str) -> Stored:
-        counts = self.edges.groupBy(F.col(end).alias("node_id")).agg(F.count(F.lit(1)).alias("degree"))
-        return self._keep(counts, f"{end}-degree", figures={"top": F.max("degree")})
+        ``known`` is 0 for an id that only edges name.
+        """
+        zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+
+        def ends(df: DataFrame, node_id: str, ins, outs, known) -> DataFrame:
+            return df.select(
+                F.col(node_id).alias("node_id"),
+                ins.alias("in_degree"),
+                outs.alias("out_degree"),
+                known.alias("known"),
+            )
+
+        seen = (
+            ends(self.nodes, "node_id", zero, zero, one)
+            .unionByName(ends(self.edges, "src", zero, one, zero))
+            .unionByName(ends(self.edges, "dst", one, zero, zero))
+        )
+        totals = seen.groupBy("node_id").agg(
+            F.sum("in_degree").alias("in_degree"),
+            F.sum("out_degree").alias("out_degree"),
+            F.sum("known").alias("known"),
+        )
+        figures = {
+            "unknown": F.count_if(F.col("known") == 0),
+            "roots": F.count_if(F.col("in_degree") == 0),
+            "leaves": F.count_if(F.col("out_degree") == 0),
+            "top_in": F.max("in_degree"),
+            "top_out": F.max("out_degree"),
+        }
+        return self._keep(totals, "degrees", figures=figures)
 
     @cached_property
     def split_degree(self) -> int:
         return hot_limit(self.edge_count, self.hot_degree)
 
-    def _hot(self, degrees: Stored) -> DataFrame | None:
-        if (degrees.figures["top"] or 0) <= self.split_degree:
+    def _hot(self, end: str) -> DataFrame | None:
+        if (self.degrees.figures[f"top_{end}"] or 0) <= self.split_degree:
             return None
-        return hot_vertices(degrees.df, self.split_degree)
+        degree = F.col(f"{end}_degree").alias("degree")
+        return hot_vertices(self.degrees.df.select("node_id", degree), self.split_degree)
 
     @cached_property
     def hot_sources(self) -> DataFrame | None:
         """(node_id, parts) of vertices with very many children; None without any."""
-        return self._hot(self.out_degree)
+        return self._hot("out")
 
     @cached_property
     def hot_targets(self) -> DataFrame | None:
         """(node_id, parts) of vertices with very many parents; None without any."""
-        return self._hot(self.in_degree)
+        return self._hot("in")
 
     @cached_property
     def buckets(self) -> int:
@@ -121,11 +145,15 @@ class LineageGraph:
         keys = Adjacency(salted, near_hot).keys()
         return Adjacency(self.scratch.save_bucketed(salted, name, keys, self.buckets), near_hot)
 
-    @cached_property
-    def roots(self) -> Stored:
+    @property
+    def roots(self) -> DataFrame:
         """Vertices without parents."""
-        free = self.nodes.select("node_id").join(self.in_degree.df, "node_id", "left_anti")
-        return self._keep(free, "roots")
+        return self.degrees.df.filter(F.col("in_degree") == 0).select("node_id")
+
+    @property
+    def leaves(self) -> DataFrame:
+        """Vertices without children."""
+        return self.degrees.df.filter(F.col("out_degree") == 0).select("node_id")
 
     @cached_property
     def _layering(self) -> tuple[DataFrame, int]:

@@ -29,15 +29,15 @@ def peel(graph) -> tuple[DataFrame, DataFrame | None, int]:
     """
     scratch = graph.scratch
     base = scratch.place("layers")
-    frontier = graph.roots.df
-    waiting = graph.in_degree.df.select("node_id", F.col("degree").alias("missing"))
+    frontier = graph.roots
+    waiting = graph.degrees.df.filter("in_degree > 0").select("node_id", F.col("in_degree").alias("missing"))
     scratch.save(
         frontier.select("node_id", F.lit(0).cast("long").alias("missing"), F.lit(True).alias("ready")),
         f"{base}/layer=0",
         partition_by=("ready",),
     )
-    layer, open_rows = 0, graph.in_degree.rows
-    ready = graph.roots.rows
+    layer, ready = 0, graph.degrees.figures["roots"]
+    open_rows = graph.degrees.rows - ready
     done = []
     while ready:
         done.append(f"layer={layer}/ready=true")
@@ -86,15 +86,3 @@ def topological_order(graph) -> DataFrame:
     """(node_id, layer, position): every parent comes before its children."""
     placed = running_total(graph.scratch, graph.layers, ["layer", "node_id"], F.lit(1), "position")
     return placed.orderBy("position")
-
-
-def degrees(graph) -> DataFrame:
-    """(node_id, in_degree, out_degree) of every vertex, zeros included."""
-    ins = graph.in_degree.df.withColumnRenamed("degree", "in_degree")
-    outs = graph.out_degree.df.withColumnRenamed("degree", "out_degree")
-    return (
-        graph.nodes.select("node_id")
-        .join(ins, "node_id", "left")
-        .join(outs, "node_id", "left")
-        .na.fill(0, ["in_degree", "out_degree"])
-    )

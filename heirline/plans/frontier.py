@@ -12,6 +12,7 @@ VISITED = T.StructType(
     [
         T.StructField("query_id", T.StringType()),
         T.StructField("node_id", T.StringType()),
+        T.StructField("budget", T.IntegerType()),
         T.StructField("hops", T.IntegerType()),
     ]
 )
@@ -40,12 +41,14 @@ def neighbours(graph, frontier: Stored, direction: str) -> DataFrame:
 def walk(graph, starts: DataFrame, direction: str, max_hops: int | None = None) -> DataFrame:
     """(query_id, node_id, hops) of everything within ``max_hops``, starts at 0 hops.
 
-    ``starts`` holds (query_id, node_id). Vertices already reached are pruned each
+    ``starts`` holds (query_id, node_id) and may hold ``budget``, the number of hops
+    after which that start stops. Vertices already reached are pruned each
     round, so a row appears once, with its least hops. If all starts together could
     fill more than ``WALK_ROWS`` rows, they are walked in several batches.
     """
     base = graph.scratch.place(f"walk-{direction}")
-    given = graph.scratch.save(starts.select("query_id", "node_id").distinct(), f"{base}/starts")
+    budget = F.max("budget" if "budget" in starts.columns else F.lit(None)).cast("int").alias("budget")
+    given = graph.scratch.save(starts.groupBy("query_id", "node_id").agg(budget), f"{base}/starts")
     batches = max(1, -(-given.rows * graph.node_count // WALK_ROWS))
     found = []
     for batch in range(batches):
@@ -64,8 +67,13 @@ def _walk_batch(graph, starts: DataFrame, direction: str, max_hops: int | None,
     frontier = scratch.save(starts, f"{base}/hops=0")
     hops = 0
     while frontier.rows and (max_hops is None or hops < max_hops):
-        met = neighbours(graph, frontier, direction).select("query_id", "node_id").distinct()
+        met = (
+            neighbours(graph, frontier, direction)
+            .filter(F.col("budget").isNull() | (F.col("budget") > hops))
+            .groupBy("query_id", "node_id")
+            .agg(F.max("budget").alias("budget"))
+        )
         seen = scratch.read(base, VISITED).select("query_id", "node_id")
         hops += 1
         frontier = scratch.save(met.join(seen, ["query_id", "node_id"], "left_anti"), f"{base}/hops={hops}")
-    return scratch.read(base, VISITED)
+    return scratch.read(base, VISITED).drop("budget")

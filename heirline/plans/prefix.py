@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,12 +33,14 @@ def running_total(
     chunk = [*group, "_range"]
     sums = rows.groupBy(*chunk).agg(F.sum("_value").alias("_sum"))
     earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*chunk, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+    start = F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start")
+    starts = sums.select(*[F.col(c).alias(f"_{c}") for c in chunk], start)
 
     before = Window.partitionBy(*chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumn("_local", F.coalesce(F.sum("_value").over(before), F.lit(0)))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in chunk])
     return (
-        local.join(starts, chunk)
+        local.join(starts, same)
         .withColumn(name, (F.col("_start") + F.col("_local")).cast("long"))
         .select(*df.columns, name)
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,10 +73,15 @@ def clean_seeds(df: DataFrame) -> DataFrame:
     return rows.groupBy("node_id").agg(F.max("probability").alias("probability"))
 
 
+def bad_artifact() -> Column:
+    """True for a row without an id or with a type outside the set."""
+    known = F.coalesce(F.col("node_type").isin(*ARTIFACT_TYPES), F.lit(False))
+    return ~known | F.col("node_id").isNull()
+
+
 def invalid_nodes(nodes: DataFrame) -> DataFrame:
     """(subject, problem) of artifacts without an id or with a type outside the set."""
-    known = F.coalesce(F.col("node_type").isin(*ARTIFACT_TYPES), F.lit(False))
-    return nodes.filter(~known | F.col("node_id").isNull()).select(
+    return nodes.filter(bad_artifact()).select(
         F.col("node_id").alias("subject"),
         F.concat(F.lit("artifact type not allowed: "), F.coalesce("node_type", F.lit("null"))).alias("problem"),
     )
