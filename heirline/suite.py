@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heirline.functions.scalar import content_of, content_text, risk_level
@@ -19,6 +19,9 @@ from heirline.sources.catalog import catalog_edges, catalog_nodes, catalog_seeds
 from heirline.sources.synthetic import synthetic_dag
 
 PLACES = 6
+# Added before rounding a risk: two-digit weights often give exact halves, which the
+# order of the factors would otherwise push to either side.
+NUDGE = 1e-9
 SUPPLIER = "supplier_7"
 
 
@@ -69,7 +72,7 @@ class Workspace:
     @property
     def even_scores(self) -> DataFrame:
         """Scores rounded, so that equal ones rank alike whatever the order of factors."""
-        return self.scores.withColumn("risk", F.round("risk", PLACES))
+        return self.scores.withColumn("risk", shown(F.col("risk")))
 
     @property
     def labels(self) -> DataFrame:
@@ -113,6 +116,11 @@ class Workspace:
         return p.unionByName(back).distinct()
 
 
+def shown(risk: Column) -> Column:
+    """A risk as the queries show it."""
+    return F.round(risk + NUDGE, PLACES)
+
+
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, PLACES) for c in columns})
 
@@ -196,7 +204,8 @@ def degrees(w: Workspace) -> DataFrame:
 def graph_stats(w: Workspace) -> DataFrame:
     row = report.graph_stats(w.graph, w.scores, w.seeds)
     levels = [F.col("level_counts")[n].alias(n.lower()) for n in risk.LEVEL_NAMES]
-    return rounded(row, "max_risk", "min_risk").select(*[c for c in row.columns if c != "level_counts"], *levels)
+    row = row.withColumns({c: shown(F.col(c)) for c in ("max_risk", "min_risk")})
+    return row.select(*[c for c in row.columns if c != "level_counts"], *levels)
 
 
 def build_summary(w: Workspace) -> DataFrame:
@@ -279,7 +288,7 @@ def proof_verdict(w: Workspace) -> DataFrame:
 
 
 def risk_scores(w: Workspace) -> DataFrame:
-    return rounded(w.scores.withColumn("risk_level", risk_level(F.col("risk"))), "risk")
+    return w.scores.select("node_id", shown(F.col("risk")).alias("risk"), risk_level(F.col("risk")).alias("risk_level"))
 
 
 def risk_levels(w: Workspace) -> DataFrame:
@@ -289,7 +298,8 @@ def risk_levels(w: Workspace) -> DataFrame:
 def risk_summary(w: Workspace) -> DataFrame:
     row = risk.risk_summary(w.scores)
     levels = [F.col("level_counts")[n].alias(n.lower()) for n in risk.LEVEL_NAMES]
-    return rounded(row.select("total_nodes", "mean_risk", "max_risk", "min_risk", *levels), "max_risk", "min_risk")
+    ends = [shown(F.col(c)).alias(c) for c in ("max_risk", "min_risk")]
+    return row.select("total_nodes", "mean_risk", *ends, *levels)
 
 
 def risk_topk(w: Workspace) -> DataFrame:
@@ -303,7 +313,7 @@ def risk_of_customers(w: Workspace) -> DataFrame:
 def diffuse_rounds(w: Workspace) -> DataFrame:
     """Two damped rounds from the bare seeds."""
     start = w.seeds.select("node_id", F.col("probability").alias("risk"))
-    return rounded(risk.diffuse(w.graph, start, rounds=2)[0], "risk")
+    return risk.diffuse(w.graph, start, rounds=2)[0].withColumn("risk", shown(F.col("risk")))
 
 
 IMPACT = ["query_id", "node_id", "node_type", "risk", "risk_level", "hops"]
@@ -346,8 +356,8 @@ def reach_report(w: Workspace) -> DataFrame:
 
 def shortest_paths(w: Workspace) -> DataFrame:
     found = paths.shortest_paths(w.blocks, w.block_pairs())
-    shown = F.coalesce(F.concat_ws(">", "path"), F.lit(""))
-    return found.withColumn("path", shown).withColumn("hops", F.col("hops").cast("long"))
+    text = F.coalesce(F.concat_ws(">", "path"), F.lit(""))
+    return found.withColumn("path", text).withColumn("hops", F.col("hops").cast("long"))
 
 
 def catalog_paths(w: Workspace) -> DataFrame:
@@ -355,8 +365,8 @@ def catalog_paths(w: Workspace) -> DataFrame:
     ends = w.table("customer").groupBy("c_nationkey").agg(F.min("c_custkey").alias("c"))
     pairs = ends.select(node_key("nation", "c_nationkey").alias("src"), node_key("customer", "c").alias("dst"))
     found = paths.shortest_paths(w.graph, pairs)
-    shown = F.coalesce(F.concat_ws(">", "path"), F.lit(""))
-    return found.withColumn("path", shown).withColumn("hops", F.col("hops").cast("long"))
+    text = F.coalesce(F.concat_ws(">", "path"), F.lit(""))
+    return found.withColumn("path", text).withColumn("hops", F.col("hops").cast("long"))
 
 
 def impact_report(w: Workspace) -> DataFrame:

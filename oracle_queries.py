@@ -67,7 +67,7 @@ def risk_chain() -> str:
             f"WHERE {is_kind('n.node_id', kind)})"
         )
     union = " UNION ALL ".join(f"SELECT * FROM risk_{i}" for i in range(len(TYPES)))
-    return ",\n".join(ctes) + f",\nscores AS ({union}),\neven AS (SELECT node_id, round(risk, 6) AS risk FROM scores)"
+    return ",\n".join(ctes) + f",\nscores AS ({union}),\neven AS (SELECT node_id, round(risk + 1e-9, 6) AS risk FROM scores)"
 
 
 def level(risk: str) -> str:
@@ -252,7 +252,7 @@ ORACLE: dict[str, str] = {
                (SELECT count(*) FROM nodes WHERE node_id NOT IN (SELECT dst FROM edges)) AS root_nodes,
                (SELECT count(*) FROM nodes WHERE node_id NOT IN (SELECT src FROM edges)) AS leaf_nodes,
                (SELECT count(*) FROM seeds) AS compromised_nodes, round(avg(risk), 4) AS mean_risk,
-               round(greatest(0.0, max(risk)), 6) AS max_risk, round(least(1.0, min(risk)), 6) AS min_risk, {LEVEL_CELLS}
+               round(greatest(0.0, max(risk)) + 1e-9, 6) AS max_risk, round(least(1.0, min(risk)) + 1e-9, 6) AS min_risk, {LEVEL_CELLS}
         FROM scores""",
     "build_summary": f"""
         WITH RECURSIVE {CATALOG}, {LAYERS}
@@ -299,15 +299,15 @@ ORACLE: dict[str, str] = {
         SELECT i.node_id AS target, t.hash = h.hash AS valid,
                CASE WHEN t.hash = h.hash THEN 'Integrity confirmed' ELSE 'TAMPER DETECTED!' END AS message
         FROM ids i JOIN h ON h.node_id = i.node_id JOIN t ON t.node_id = i.node_id""",
-    "risk_scores": f"WITH {CATALOG}, {risk_chain()} SELECT node_id, round(risk, 6) AS risk, {level('risk')} AS risk_level FROM scores",
+    "risk_scores": f"WITH {CATALOG}, {risk_chain()} SELECT node_id, round(risk + 1e-9, 6) AS risk, {level('risk')} AS risk_level FROM scores",
     "risk_levels": f"""
         WITH {CATALOG}, {risk_chain()}, names(risk_level) AS (VALUES ('CRITICAL'), ('HIGH'), ('MEDIUM'), ('LOW'), ('SAFE'))
         SELECT n.risk_level, count(s.node_id) AS nodes FROM names n LEFT JOIN scores s ON {level("s.risk")} = n.risk_level
         GROUP BY n.risk_level""",
     "risk_summary": f"""
         WITH {CATALOG}, {risk_chain()}
-        SELECT count(*) AS total_nodes, round(avg(risk), 4) AS mean_risk, round(greatest(0.0, max(risk)), 6) AS max_risk,
-               round(least(1.0, min(risk)), 6) AS min_risk, {LEVEL_CELLS} FROM scores""",
+        SELECT count(*) AS total_nodes, round(avg(risk), 4) AS mean_risk, round(greatest(0.0, max(risk)) + 1e-9, 6) AS max_risk,
+               round(least(1.0, min(risk)) + 1e-9, 6) AS min_risk, {LEVEL_CELLS} FROM scores""",
     "risk_topk": f"""
         WITH {CATALOG}, {risk_chain()}
         SELECT node_id, risk, {level("risk")} AS risk_level FROM even ORDER BY risk DESC, node_id LIMIT 20""",
@@ -323,7 +323,7 @@ ORACLE: dict[str, str] = {
         p2 AS (SELECT e.dst, 1.0 - product(1.0 - e.weight * d.risk) AS pushed FROM edges e JOIN d1 d ON d.node_id = e.src GROUP BY e.dst),
         d2 AS (SELECT d.node_id, greatest(d.risk, 0.85 * coalesce(p.pushed, 0.0) + (1.0 - 0.85) * d.risk) AS risk
                FROM d1 d LEFT JOIN p2 p ON p.dst = d.node_id)
-        SELECT node_id, round(risk, 6) AS risk FROM d2""",
+        SELECT node_id, round(risk + 1e-9, 6) AS risk FROM d2""",
     "impacted_k": f"WITH {CATALOG}, {risk_chain()}, {walk('w', SEED_IDS, 'src', 'dst', 2)} {impact_rows('w.hops')}",
     "impacted_all": f"""
         WITH {CATALOG}, {risk_chain()}, {walk("w", "SELECT 'supplier_7' AS node_id", "src", "dst", DEEPEST)}
