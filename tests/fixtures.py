@@ -76,7 +76,7 @@ FIXTURES = {
 }
 
 
-def random_fixture(seed: int, size: int = 40, links: int = 110) -> Fixture:
+def random_fixture(seed: int, size: int = 16, links: int = 30) -> Fixture:
     rng = random.Random(seed)
     kinds = ["dataset", "model", "tool", "product"]
     names = [f"v{i:02d}" for i in range(size)]
@@ -86,7 +86,7 @@ def random_fixture(seed: int, size: int = 40, links: int = 110) -> Fixture:
     pairs = set()
     while len(pairs) < links:
         a, b = sorted(rng.sample(range(size), 2))
-        if b - a < 12 or a == 0:
+        if b - a < 8 or a == 0:
             pairs.add((order[a], order[b]))
     edges = [(a, b, round(rng.random(), 2)) for a, b in sorted(pairs)]
     seeds = {n: rng.choice([0.3, 0.7, 1.0]) for n in rng.sample(names, 4)}
