@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from heirline.plans.adjacency import HOT_DEGREE, Adjacency, hot_limit, hot_vertices, salt_edges
 from heirline.plans.scratch import Scratch, Stored
+from heirline.plans.tail import DEEP_AFTER, PIECE_ROWS
 from heirline.sources.ingest import bad_artifact, clean_edges, clean_nodes, problems, require_none
 
 BUCKET_BYTES = 256 << 20
@@ -31,16 +32,22 @@ class LineageGraph:
         unique: bool = False,
         validate: bool = True,
         hot_degree: int = HOT_DEGREE,
+        deep_after: int = DEEP_AFTER,
+        piece_rows: int = PIECE_ROWS,
         scratch: Scratch | None = None,
     ):
         """Clean, store and check the two tables.
 
         ``unique=True`` states that ids and edge pairs do not repeat. ``hot_degree`` is
-        the degree above which the edges of a vertex are split over several tasks.
+        the degree above which the edges of a vertex are split over several tasks. What
+        lies deeper than ``deep_after`` layers is done piece by piece where a piece has
+        at most ``piece_rows`` edges.
         """
         self.spark: SparkSession = nodes.sparkSession
         self.scratch = scratch or Scratch(self.spark)
         self.hot_degree = hot_degree
+        self.deep_after = deep_after
+        self.piece_rows = piece_rows
         bad_node = F.count_if(bad_artifact())
         bad_weight = F.count_if(F.isnan("weight"))
         self._nodes = self._keep(clean_nodes(nodes, unique=unique), "nodes", figures={"bad": bad_node})
@@ -156,20 +163,39 @@ class LineageGraph:
         return self.degrees.df.filter(F.col("out_degree") == 0).select("node_id")
 
     @cached_property
-    def _layering(self) -> tuple[DataFrame, int]:
+    def _peeled(self):
         from heirline.operators.topo import require_acyclic
 
         return require_acyclic(self)
 
     @property
-    def layers(self) -> DataFrame:
-        """(node_id, layer): 0 for roots, else one more than the deepest parent."""
-        return self._layering[0]
+    def tail(self) -> Stored | None:
+        """(node_id, component, layer) of deep vertices in small pieces; None without any."""
+        return self._peeled.tail
+
+    @property
+    def rounds(self) -> int:
+        """Number of layers outside the tail."""
+        return self._peeled.depth
 
     @property
     def depth(self) -> int:
         """Number of layers."""
-        return self._layering[1]
+        return self.rounds if self.tail is None else max(self.rounds, self.tail.figures["top"] + 1)
+
+    @property
+    def layers(self) -> DataFrame:
+        """(node_id, layer): 0 for roots, else one more than the deepest parent."""
+        if self.tail is None:
+            return self._peeled.layers
+        return self._peeled.layers.unionByName(self.tail.df.select("node_id", "layer"))
+
+    @property
+    def round_of(self) -> DataFrame:
+        """(node_id, layer) as sweeps go: the layer, or -1 for the tail."""
+        if self.tail is None:
+            return self._peeled.layers
+        return self._peeled.layers.unionByName(self.tail.df.select("node_id", F.lit(-1).alias("layer")))
 
     @cached_property
     def slices(self) -> Stored:
@@ -180,7 +206,7 @@ class LineageGraph:
 
     @cached_property
     def hashes(self) -> DataFrame:
-        """(node_id, hash, layer) of the chained content hashes."""
+        """(node_id, hash) of the chained content hashes."""
         from heirline.operators.merkle import hash_chain
 
         return hash_chain(self)

@@ -6,81 +6,65 @@ the vertex is reachable; the reverse does not hold, as a forest leaves edges out
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from heirline.plans.prefix import running_total
 
 
 def spanning_forest(graph) -> DataFrame:
-    """(node_id, parent, layer, parent_layer); parent is null for roots."""
+    """(node_id, parent); parent is null for roots."""
     chosen = graph.edges.groupBy(F.col("dst").alias("node_id")).agg(F.min("src").alias("parent"))
-    above = graph.layers.select(F.col("node_id").alias("parent"), F.col("layer").alias("parent_layer"))
-    return graph.layers.join(chosen, "node_id", "left").join(above, "parent", "left")
+    return graph.nodes.select("node_id").join(chosen, "node_id", "left")
+
+
+def _jump(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Rows with ``jump`` moved to the jump of the vertex it points at, named ``_there``."""
+    ahead = rows.select(F.col("node_id").alias("_there"), *[F.col(c).alias(f"_{c}") for c in rows.columns if c != "node_id"])
+    return rows.join(ahead, rows["jump"] == ahead["_there"], "left").select(
+        *[columns.get(c, F.col(c)).alias(c) for c in rows.columns]
+    )
+
+
+def subtree_sizes(graph, forest: DataFrame) -> DataFrame:
+    """(node_id, parent, size) by doubling.
+
+    ``size`` counts the descendants nearer than a distance that doubles each round:
+    those known so far, plus what the vertices exactly that far below know. The rounds
+    are the logarithm of the depth.
+    """
+    scratch = graph.scratch
+    begin = forest.withColumns({"jump": F.col("parent"), "size": F.lit(1).cast("long")})
+    open_rows = {"open": F.count("jump")}
+    now = scratch.save(begin, scratch.place("sizes"), figures=open_rows)
+    while now.figures["open"]:
+        below = now.df.filter("jump IS NOT NULL").groupBy(F.col("jump").alias("_at")).agg(F.sum("size").alias("_below"))
+        jumped = _jump(now.df, {"jump": F.col("_jump")})
+        grown = jumped.join(below, jumped["node_id"] == below["_at"], "left")
+        size = F.col("size") + F.coalesce("_below", F.lit(0))
+        now = scratch.save(
+            grown.select("node_id", "parent", "jump", size.alias("size")), scratch.place("sizes"), figures=open_rows
+        )
+    return now.df.drop("jump")
 
 
 def interval_labels(graph) -> DataFrame:
     """(node_id, disc, fin): nested-set labels, children and roots in id order.
 
-    Sizes of subtrees are summed from the deepest layer up. A vertex then starts after
-    the subtrees of its earlier siblings, from the roots down.
+    A vertex starts one after its parent, plus the room of its earlier siblings. Summed
+    along the way to the root by doubling, that is its own start.
     """
     scratch = graph.scratch
-    forest = scratch.save(spanning_forest(graph), scratch.place("forest"), partition_by=("layer",))
-
-    def members(layer: int) -> DataFrame:
-        return scratch.read(forest.path, forest.df.schema, f"layer={layer}")
-
-    base = scratch.place("sizes")
-    sizes = T.StructType(
-        [
-            T.StructField("node_id", T.StringType()),
-            T.StructField("parent", T.StringType()),
-            T.StructField("parent_layer", T.IntegerType()),
-            T.StructField("size", T.LongType()),
-            T.StructField("layer", T.IntegerType()),
-        ]
-    )
-    for layer in range(graph.depth - 1, -1, -1):
-        mine = members(layer).select("node_id", "parent", "parent_layer")
-        if layer == graph.depth - 1:
-            sized = mine.withColumn("size", F.lit(1).cast("long"))
-        else:
-            below = scratch.read(base, sizes).filter(F.col("parent_layer") == layer)
-            sums = below.groupBy(F.col("parent").alias("node_id")).agg(F.sum("size").alias("_below"))
-            sized = mine.join(sums, "node_id", "left").select(
-                "node_id", "parent", "parent_layer", (F.lit(1) + F.coalesce("_below", F.lit(0))).alias("size")
-            )
-        scratch.save(sized, f"{base}/layer={layer}")
-
-    whole = scratch.read(base, sizes)
-    placed = running_total(scratch, whole, ["node_id"], F.col("size") * 2, "offset", group=["parent"])
-    kept = scratch.save(placed, scratch.place("offsets"), partition_by=("layer",))
-
-    def offsets(layer: int) -> DataFrame:
-        return scratch.read(kept.path, kept.df.schema, f"layer={layer}").drop("layer")
-
-    out = scratch.place("labels")
-    labels = T.StructType(
-        [
-            T.StructField("node_id", T.StringType()),
-            T.StructField("disc", T.LongType()),
-            T.StructField("fin", T.LongType()),
-            T.StructField("layer", T.IntegerType()),
-        ]
-    )
-    for layer in range(graph.depth):
-        rows = offsets(layer)
-        if layer == 0:
-            begin = rows.withColumn("disc", F.lit(1) + F.col("offset"))
-        else:
-            above = scratch.read(out, labels).select(F.col("node_id").alias("parent"), F.col("disc").alias("_above"))
-            begin = rows.join(above, "parent").withColumn("disc", F.col("_above") + 1 + F.col("offset"))
-        scratch.save(
-            begin.select("node_id", "disc", (F.col("disc") + 2 * F.col("size") - 1).alias("fin")), f"{out}/layer={layer}"
-        )
-    return scratch.read(out, labels).drop("layer")
+    sized = subtree_sizes(graph, spanning_forest(graph))
+    placed = running_total(scratch, sized, ["node_id"], F.col("size") * 2, "offset", group=["parent"])
+    begin = placed.select("node_id", F.col("parent").alias("jump"), "size", (F.col("offset") + 1).alias("disc"))
+    open_rows = {"open": F.count("jump")}
+    now = scratch.save(begin, scratch.place("labels"), figures=open_rows)
+    while now.figures["open"]:
+        disc = F.col("disc") + F.coalesce("_disc", F.lit(0))
+        moved = _jump(now.df, {"jump": F.col("_jump"), "disc": disc})
+        now = scratch.save(moved, scratch.place("labels"), figures=open_rows)
+    return now.df.select("node_id", "disc", (F.col("disc") + 2 * F.col("size") - 1).alias("fin"))
 
 
 def labels_of(labels: DataFrame, ids: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from heirline.functions.scalar import own_payload, parent_payload, sha256_hex
 from heirline.plans.frontier import walk
 from heirline.plans.sweep import sweep, with_parent_values
+from heirline.plans.tail import tail_pass
 
 HUB_CHUNK = 100_000
 
@@ -75,13 +76,22 @@ def hash_from_parents(own: DataFrame, parents: DataFrame, hubs: DataFrame | None
     return light.unionByName(heavy)
 
 
+def _handed_down(parent_hash: str, _: float) -> str:
+    return parent_hash
+
+
+def _digest(own: str, parent_hashes: list[str]) -> str:
+    text = own + "".join(f"parent={h};" for h in sorted(parent_hashes))
+    return hashlib.sha256(text.encode("utf-8")).hexdigest()
+
+
 def hash_chain(graph, nodes: DataFrame | None = None) -> DataFrame:
-    """(node_id, hash, layer) of every artifact.
+    """(node_id, hash) of every artifact.
 
     ``nodes`` replaces the stored artifacts, for instance with edited content, on the
     same edges.
     """
-    own = own_payloads(graph.nodes if nodes is None else nodes).drop("node_type").join(graph.layers, "node_id")
+    own = own_payloads(graph.nodes if nodes is None else nodes).drop("node_type").join(graph.round_of, "node_id")
     stored = graph.scratch.save(own, graph.scratch.place("own"), partition_by=("layer",))
 
     def of_layer(layer: int) -> DataFrame:
@@ -92,8 +102,14 @@ def hash_chain(graph, nodes: DataFrame | None = None) -> DataFrame:
         parents = joined.select(F.col("dst").alias("node_id"), F.col("hash").alias("parent_hash"))
         return hash_from_parents(of_layer(layer), parents, graph.hot_targets, graph.edge_count)
 
+    def last(edges: DataFrame, finished: DataFrame) -> DataFrame:
+        joined = with_parent_values(graph, edges, finished)
+        above = joined.select(F.col("dst").alias("node_id"), F.col("hash").alias("value"))
+        values = tail_pass(graph, of_layer(-1), edges, above, _handed_down, _digest, "string")
+        return values.withColumnRenamed("value", "hash")
+
     roots = of_layer(0).select("node_id", sha256_hex(F.col("own")).alias("hash"))
-    return sweep(graph, "hashes", roots, step)
+    return sweep(graph, "hashes", roots, step, last)
 
 
 def parent_lists(graph) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heirline.functions.scalar import risk_level, round4
 from heirline.plans.sweep import sweep, with_parent_values
+from heirline.plans.tail import tail_pass
 from heirline.schema import DIFFUSION_DAMPING, DIFFUSION_ROUNDS, DIFFUSION_TOLERANCE, RISK_LEVELS, SAFE_LEVEL
 from heirline.sources.ingest import InvalidCatalog, clean_seeds, missing_seeds, require_none
 
@@ -14,11 +17,11 @@ LEVEL_NAMES = [name for name, _ in RISK_LEVELS] + [SAFE_LEVEL]
 
 
 def accepted_seeds(graph, seeds: DataFrame) -> DataFrame:
-    """(node_id, probability, layer) of the seeds, or an error for a bad one."""
+    """(node_id, probability, layer) of the seeds, -1 for the tail, or an error for a bad one."""
     clean = clean_seeds(seeds)
     out = F.isnan("probability") | ~F.col("probability").between(0.0, 1.0)
     stored = graph.scratch.save(
-        clean.join(graph.layers, "node_id", "left"),
+        clean.join(graph.round_of, "node_id", "left"),
         graph.scratch.place("seeds"),
         figures={"unknown": F.count_if(F.col("layer").isNull()), "out": F.count_if(out)},
     )
@@ -34,6 +37,14 @@ def noisy_or(factors: str):
     return 1.0 - F.product(factors)
 
 
+def _safe_chance(risk: float, weight: float) -> float:
+    return 1.0 - weight * risk
+
+
+def _at_least(seed: float | None, safe: list[float]) -> float:
+    return max(seed if seed and seed > 0 else 0.0, 1.0 - math.prod(safe))
+
+
 def propagate(graph, seeds: DataFrame) -> DataFrame:
     """(node_id, risk) of every artifact for the seeds (node_id[, probability]).
 
@@ -54,7 +65,14 @@ def propagate(graph, seeds: DataFrame) -> DataFrame:
         rows = pushed.unionByName(own(layer).withColumn("safe", F.lit(1.0)))
         return rows.groupBy("node_id").agg(F.greatest(F.max("seed"), noisy_or("safe")).alias("risk"))
 
-    found = sweep(graph, "risk", own(0).withColumnRenamed("seed", "risk"), step)
+    def last(edges: DataFrame, finished: DataFrame) -> DataFrame:
+        risky = with_parent_values(graph, edges, finished.filter(F.col("risk") > 0))
+        above = risky.select(F.col("dst").alias("node_id"), (1.0 - F.col("weight") * F.col("risk")).alias("value"))
+        mine = own(-1).withColumnRenamed("seed", "own")
+        values = tail_pass(graph, mine, edges, above, _safe_chance, _at_least, "double")
+        return values.filter("value > 0").withColumnRenamed("value", "risk")
+
+    found = sweep(graph, "risk", own(0).withColumnRenamed("seed", "risk"), step, last)
     return graph.scratch.save(all_scores(graph.nodes, found), graph.scratch.place("scores")).df
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heirline.plans.prefix import running_total
+from heirline.plans.scratch import Stored
+from heirline.plans.tail import take_tail
 from heirline.sources.ingest import InvalidCatalog
 
 LAYERS = T.StructType(
@@ -19,13 +21,23 @@ LAYERS = T.StructType(
 )
 
 
-def peel(graph) -> tuple[DataFrame, DataFrame | None, int]:
+class Peeled:
+    """What :func:`peel` found."""
+
+    def __init__(self, layers: DataFrame, stuck: DataFrame | None, depth: int, tail: Stored | None):
+        self.layers = layers
+        self.stuck = stuck
+        self.depth = depth
+        self.tail = tail
+
+
+def peel(graph) -> Peeled:
     """Take off one layer of vertices after the other.
 
     Every round joins the newest layer to its out-edges and subtracts the counts from
     the number of parents still missing; a vertex that reaches zero is the next layer.
-    The edges are bucketed by source and never shuffled. Returns (layers, vertices
-    that stay because of a cycle or None, number of layers).
+    The edges are bucketed by source and never shuffled. After ``graph.deep_after``
+    layers, small pieces of what is left are ordered in one go as the tail.
     """
     scratch = graph.scratch
     base = scratch.place("layers")
@@ -38,17 +50,23 @@ def peel(graph) -> tuple[DataFrame, DataFrame | None, int]:
     )
     layer, ready = 0, graph.degrees.figures["roots"]
     open_rows = graph.degrees.rows - ready
-    done = []
+    done, tail = [], None
     while ready:
         done.append(f"layer={layer}/ready=true")
+        if open_rows and layer == graph.deep_after:
+            tail = take_tail(graph, waiting, layer + 1)
+            if tail is not None:
+                open_rows -= tail.rows
+                waiting = waiting.join(tail.df.select("node_id"), "node_id", "left_anti")
         if not open_rows:
             break
         layer += 1
         met = graph.forward.meet(frontier).groupBy(F.col("far").alias("node_id"))
         hits = met.agg((-F.count(F.lit(1))).alias("missing"))
-        left = waiting.unionByName(hits).groupBy("node_id").agg(F.sum("missing").alias("missing"))
+        sums = waiting.unionByName(hits).groupBy("node_id")
+        left = sums.agg(F.sum("missing").alias("missing"), F.max("missing").alias("_was")).filter("_was > 0")
         stored = scratch.save(
-            left.withColumn("ready", F.col("missing") == 0),
+            left.select("node_id", "missing", (F.col("missing") == 0).alias("ready")),
             f"{base}/layer={layer}",
             partition_by=("ready",),
             figures={"ready": F.count_if("ready"), "open": F.count_if(~F.col("ready"))},
@@ -63,22 +81,25 @@ def peel(graph) -> tuple[DataFrame, DataFrame | None, int]:
     else:
         layers = graph.spark.createDataFrame([], "node_id string, layer int")
     stuck = waiting.select("node_id") if open_rows else None
-    return layers, stuck, len(done)
+    if tail is not None and tail.figures["stuck"]:
+        lost = tail.df.filter(F.col("layer").isNull()).select("node_id")
+        stuck = lost if stuck is None else stuck.unionByName(lost)
+    return Peeled(layers, stuck, len(done), tail)
 
 
-def require_acyclic(graph) -> tuple[DataFrame, int]:
-    """(layers, depth), or an error with the counts and a few vertices that stay."""
-    layers, stuck, depth = peel(graph)
-    if stuck is not None:
-        names = [r.node_id for r in stuck.orderBy("node_id").take(5)]
-        total, kept = graph.node_count, stuck.count()
+def require_acyclic(graph) -> Peeled:
+    """The layers, or an error with the counts and a few vertices that stay."""
+    peeled = peel(graph)
+    if peeled.stuck is not None:
+        names = [r.node_id for r in peeled.stuck.orderBy("node_id").take(5)]
+        total, kept = graph.node_count, peeled.stuck.count()
         raise InvalidCatalog(f"cycle: {total - kept} of {total} vertices ordered; among the rest: {', '.join(names)}")
-    return layers, depth
+    return peeled
 
 
 def cycle_nodes(graph) -> DataFrame:
     """Vertices that cannot be ordered: on a cycle or below one. Empty for a DAG."""
-    _, stuck, _ = peel(graph)
+    stuck = peel(graph).stuck
     return stuck if stuck is not None else graph.nodes.select("node_id").limit(0)
 
 

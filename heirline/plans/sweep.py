@@ -19,19 +19,19 @@ MANY_LAYERS = 64
 
 
 def edge_slices(graph) -> Stored:
-    """(src, dst, weight[, salts]) partitioned by ``layer``, that of ``dst``.
+    """(src, dst, weight[, salts]) partitioned by ``layer``, that of ``dst``, -1 in the tail.
 
     The edges are bucketed by target already, so only the layers are shuffled. With
     many layers a rebalance keeps the number of files down and splits a large layer.
     """
-    placed = graph.backward.meet(graph.layers)
+    placed = graph.backward.meet(graph.round_of)
     salts = [
         F.col(c).alias(n)
         for c, n in (("near_salt", "dst_salt"), ("far_salt", "src_salt"))
         if c in graph.backward.table.columns
     ]
     rows = placed.select(F.col("far").alias("src"), F.col("near").alias("dst"), "weight", *salts, "layer")
-    if graph.depth > MANY_LAYERS:
+    if graph.rounds > MANY_LAYERS:
         rows = rows.hint("rebalance", "layer")
     return graph.scratch.save(rows, graph.scratch.place("slices"), partition_by=("layer",))
 
@@ -56,16 +56,22 @@ def sweep(
     name: str,
     first: DataFrame,
     step: Callable[[int, DataFrame, DataFrame], DataFrame],
+    last: Callable[[DataFrame, DataFrame], DataFrame],
 ) -> DataFrame:
     """Run ``step(layer, edges into the layer, finished rows)`` from layer 1 on.
 
     ``first`` holds the rows of layer 0. Each layer's rows are written before the next
-    begins. Returns all rows with their ``layer``.
+    begins. A tail, if there is one, follows as ``last(edges into it, finished rows)``.
     """
     base = graph.scratch.place(name)
     schema = graph.scratch.save(first, f"{base}/layer=0").df.schema
     whole = T.StructType([*schema.fields, T.StructField("layer", T.IntegerType())])
-    for layer in range(1, graph.depth):
-        finished = graph.scratch.read(base, whole).drop("layer")
-        graph.scratch.save(step(layer, slice_of(graph, layer), finished), f"{base}/layer={layer}")
-    return graph.scratch.read(base, whole)
+
+    def finished() -> DataFrame:
+        return graph.scratch.read(base, whole).drop("layer")
+
+    for layer in range(1, graph.rounds):
+        graph.scratch.save(step(layer, slice_of(graph, layer), finished()), f"{base}/layer={layer}")
+    if graph.tail is not None:
+        graph.scratch.save(last(slice_of(graph, -1), finished()), f"{base}/layer=-1")
+    return finished()

@@ -21,7 +21,7 @@ def test_layers_hashes_risk_and_closures(spark, graphs, name):
     rows = (
         graph.nodes.select("node_id", "node_type")
         .join(graph.layers, "node_id")
-        .join(graph.hashes.drop("layer"), "node_id")
+        .join(graph.hashes, "node_id")
         .join(risk.propagate(graph, seeds_of(spark, fixture)), "node_id")
         .join(down, "node_id", "left")
         .join(up, "node_id", "left")
