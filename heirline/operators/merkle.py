@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heirline.functions.scalar import own_payload, parent_payload, sha256_hex
-from heirline.plans.frontier import walk
+from heirline.plans.frontier import neighbours, walk
 from heirline.plans.sweep import sweep, with_parent_values
 from heirline.plans.tail import tail_pass
 
@@ -187,11 +187,13 @@ def prove(graph, targets: DataFrame) -> Proof:
     """Proofs for the ids in ``targets`` (node_id), all in one backward walk."""
     known = targets.select("node_id").distinct().join(graph.nodes.select("node_id"), "node_id", "left_semi")
     reached = walk(graph, known.select(F.col("node_id").alias("query_id"), "node_id"), "backward")
-    members = reached.select(F.col("query_id").alias("proof_id"), "node_id")
+    rows = reached.select(F.col("query_id").alias("proof_id"), "node_id")
+    stood = graph.scratch.save(rows, graph.scratch.place("proof-members"))
+    members = stood.df
     facts = own_payloads(graph.nodes).join(graph.hashes.select("node_id", "hash"), "node_id")
     entries = graph.scratch.save(members.join(facts, "node_id"), graph.scratch.place("proof-entries"))
-    links = graph.backward.meet(members).select(
-        "proof_id", F.col("near").alias("node_id"), F.col("far").alias("parent_id")
+    links = neighbours(graph, stood, "backward", stood.rows).select(
+        "proof_id", F.col("_at").alias("node_id"), F.col("node_id").alias("parent_id")
     )
     stored = graph.scratch.save(links, graph.scratch.place("proof-links"))
     columns = ["proof_id", "node_id", "node_type", "own", "hash"]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from heirline.plans.adjacency import hot_vertices, repeat_hot
 from heirline.plans.scratch import Stored
 
 VISITED = T.StructType(
@@ -30,12 +31,41 @@ def short_id_list(graph, frontier: Stored) -> list[str] | None:
     return sorted({r.node_id for r in frontier.df.select("node_id").take(limit)})
 
 
-def neighbours(graph, frontier: Stored, direction: str) -> DataFrame:
-    """The rows of ``frontier`` moved one edge on: its columns, ``_at`` and the new ``node_id``."""
+def crowded(graph, frontier: Stored, queries: int) -> DataFrame | None:
+    """(node_id, parts) of vertices that very many queries stand on; None without any.
+
+    A query stands on a vertex once, so this can only happen with that many queries.
+    """
+    limit = graph.split_degree
+    if min(queries, frontier.rows) <= limit:
+        return None
+    counts = frontier.df.groupBy("node_id").agg(F.count(F.lit(1)).alias("degree"))
+    found = graph.scratch.save(hot_vertices(counts, limit), graph.scratch.place("crowded"))
+    return found.df if found.rows else None
+
+
+def neighbours(graph, frontier: Stored, direction: str, queries: int) -> DataFrame:
+    """The rows of ``frontier`` moved one edge on: its columns, ``_at`` and the new ``node_id``.
+
+    Rows on a vertex that very many queries share are spread over salts, and the edges
+    of that vertex repeated for each.
+    """
     side = getattr(graph, direction)
-    moved = side.meet(frontier.df, short_id_list(graph, frontier))
     kept = [c for c in frontier.df.columns if c != "node_id"]
-    return moved.select(*kept, "_at", F.col("far").alias("node_id"))
+    columns = [*kept, "_at", F.col("far").alias("node_id")]
+    crowd = crowded(graph, frontier, queries)
+    if crowd is None:
+        return side.meet(frontier.df, short_id_list(graph, frontier)).select(*columns)
+    names = F.broadcast(crowd.select("node_id"))
+    few = side.meet(frontier.df.join(names, "node_id", "left_anti")).select(*columns)
+    many = frontier.df.join(F.broadcast(crowd), "node_id").withColumn(
+        "_salt", F.pmod(F.xxhash64(*kept), F.col("parts").cast("long")).cast("int")
+    )
+    edges = side.table.select("near", "far").join(names, F.col("near") == names["node_id"], "left_semi")
+    spread = repeat_hot(edges, crowd, "near", "_edge_salt")
+    on = (many["node_id"] == spread["near"]) & (many["_salt"] == spread["_edge_salt"])
+    moved = many.withColumn("_at", F.col("node_id")).join(spread, on).select(*columns)
+    return few.unionByName(moved)
 
 
 def walk(graph, starts: DataFrame, direction: str, max_hops: int | None = None) -> DataFrame:
@@ -55,20 +85,22 @@ def walk(graph, starts: DataFrame, direction: str, max_hops: int | None = None)
         rows = given.df
         if batches > 1:
             rows = rows.filter(F.pmod(F.xxhash64("query_id"), F.lit(batches)) == batch)
-        found.append(_walk_batch(graph, rows, direction, max_hops, f"{base}/batch={batch}"))
+        found.append(_walk_batch(graph, rows, direction, max_hops, f"{base}/batch={batch}", given.rows))
     whole = found[0]
     for part in found[1:]:
         whole = whole.unionByName(part)
     return whole
 
 
-def _walk_batch(graph, starts: DataFrame, direction: str, max_hops: int | None, base: str) -> DataFrame:
+def _walk_batch(
+    graph, starts: DataFrame, direction: str, max_hops: int | None, base: str, queries: int
+) -> DataFrame:
     scratch = graph.scratch
     frontier = scratch.save(starts, f"{base}/hops=0")
     hops = 0
     while frontier.rows and (max_hops is None or hops < max_hops):
         met = (
-            neighbours(graph, frontier, direction)
+            neighbours(graph, frontier, direction, queries)
             .filter(F.col("budget").isNull() | (F.col("budget") > hops))
             .groupBy("query_id", "node_id")
             .agg(F.max("budget").alias("budget"))
