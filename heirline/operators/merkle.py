@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heirline.functions.scalar import own_payload, parent_payload, sha256_hex
+from heirline.plans.adjacency import hot_limit
 from heirline.plans.frontier import neighbours, walk
 from heirline.plans.sweep import sweep, with_parent_values
 from heirline.plans.tail import tail_pass
@@ -218,12 +219,13 @@ def verify(proof: Proof, nodes: DataFrame | None = None, hub_parents: int = 200_
     ident = F.to_json(F.struct(*keys))
 
     counts = proof.links.groupBy(*keys).count()
-    hubs = counts.filter(F.col("count") > hub_parents).select(ident.alias("node_id"))
     stats = counts.agg(F.max("count").alias("top"), F.sum("count").alias("links")).first()
+    limit = hot_limit(stats.links or 0, hub_parents)
+    hubs = counts.filter(F.col("count") > limit).select(ident.alias("node_id"))
     computed = hash_from_parents(
         entries.select(ident.alias("node_id"), "own"),
         joined.select(ident.alias("node_id"), "parent_hash"),
-        hubs if (stats.top or 0) > hub_parents else None,
+        hubs if (stats.top or 0) > limit else None,
         stats.links or 0,
     ).withColumnRenamed("hash", "_computed")
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heirline.plans.adjacency import hot_vertices, repeat_hot
 from heirline.plans.scratch import Stored
+from heirline.plans.sweep import slice_of
 
 VISITED = T.StructType(
     [
@@ -98,7 +102,15 @@ def _walk_batch(
     scratch = graph.scratch
     frontier = scratch.save(starts, f"{base}/hops=0")
     hops = 0
+    late = None
     while frontier.rows and (max_hops is None or hops < max_hops):
+        if hops == graph.deep_after + 1 and graph.tail is not None:
+            frontier, late = finish_pieces(graph, frontier, direction, hops, base)
+            if direction == "backward":
+                late = relax(graph, frontier, late, hops, base, queries)
+                break
+            if not frontier.rows:
+                break
         met = (
             neighbours(graph, frontier, direction, queries)
             .filter(F.col("budget").isNull() | (F.col("budget") > hops))
@@ -108,4 +120,86 @@ def _walk_batch(
         seen = scratch.read(base, VISITED).select("query_id", "node_id")
         hops += 1
         frontier = scratch.save(met.join(seen, ["query_id", "node_id"], "left_anti"), f"{base}/hops={hops}")
-    return scratch.read(base, VISITED).drop("budget")
+    found = scratch.read(base, VISITED)
+    if late is not None:
+        least = found.unionByName(late).groupBy("query_id", "node_id")
+        found = least.agg(F.max("budget").alias("budget"), F.min("hops").alias("hops"))
+        found = found.filter(F.col("budget").isNull() | (F.col("hops") <= F.col("budget")))
+    if max_hops is not None:
+        found = found.filter(F.col("hops") <= max_hops)
+    return found.drop("budget")
+
+
+def finish_pieces(graph, frontier: Stored, direction: str, hops: int, base: str) -> tuple[Stored, DataFrame]:
+    """Walk to the end inside the small deep pieces, one group per query and piece.
+
+    Returns the frontier outside the pieces and the rows found inside.
+    """
+    scratch = graph.scratch
+    place = graph.tail.df.select("node_id", "component")
+    at = frontier.df.join(place, "node_id")
+    groups = scratch.save(at.select("query_id", "component", "budget").distinct(), f"{base}-groups").df
+    visited = scratch.read(base, VISITED).join(place, "node_id").join(groups.drop("budget"), ["query_id", "component"])
+
+    within = place.select(F.col("node_id").alias("src"), "component")
+    edges = slice_of(graph, -1).join(within, "src").select("src", "dst", "component")
+    near, far = ("src", "dst") if direction == "forward" else ("dst", "src")
+    rows = visited.select(
+        "query_id", "component", "node_id", "hops", "budget", F.lit(None).cast("string").alias("far")
+    ).unionByName(
+        edges.join(groups, "component").select(
+            "query_id", "component", F.col(near).alias("node_id"), F.lit(None).cast("int").alias("hops"), "budget",
+            F.col(far).alias("far"),
+        )
+    )
+
+    def grow(key: tuple, piece: pd.DataFrame) -> pd.DataFrame:
+        links = piece[piece["far"].notna()]
+        ahead = defaultdict(list)
+        for a, b in zip(links["node_id"], links["far"], strict=True):
+            ahead[a].append(b)
+        known = piece[piece["far"].isna()]
+        seen = set(known["node_id"])
+        level = list(known.loc[known["hops"] == hops, "node_id"])
+        step, found = hops, []
+        while level:
+            step += 1
+            level = list({b for a in level for b in ahead[a] if b not in seen})
+            seen.update(level)
+            found += [(key[0], n, step) for n in level]
+        out = pd.DataFrame(found, columns=["query_id", "node_id", "hops"])
+        out["budget"] = pd.array([piece["budget"].iloc[0]] * len(out), dtype="Int32")
+        return out
+
+    schema = "query_id string, node_id string, hops int, budget int"
+    inside = rows.groupBy("query_id", "component").applyInPandas(grow, schema)
+    found = scratch.save(inside, f"{base}-late/round=0").df.select(*VISITED.names)
+    rest = frontier.df.join(place.select("node_id"), "node_id", "left_anti").select(*frontier.df.columns)
+    return scratch.save(rest, f"{base}-rest"), found
+
+
+def relax(graph, frontier: Stored, found: DataFrame, hops: int, base: str, queries: int) -> DataFrame:
+    """Go on upward from finished pieces: rows of different hops, kept where they are nearer.
+
+    Starts from the pieces' rows and from ``frontier``. What lies above the pieces has few
+    layers, so few rounds improve anything. Returns all rows found, some more than once.
+    """
+    scratch = graph.scratch
+    edge = scratch.read(base, VISITED).filter(F.col("hops") == hops).unionByName(found)
+    now = scratch.save(edge, f"{base}-edge")
+    inside = graph.tail.df.select("node_id")
+    rounds = 0
+    while now.rows:
+        met = neighbours(graph, now, "backward", queries).withColumn("hops", F.col("hops") + 1)
+        if not rounds:
+            met = met.join(inside, "node_id", "left_anti")
+        nearest = met.groupBy("query_id", "node_id").agg(F.max("budget").alias("budget"), F.min("hops").alias("hops"))
+        known = scratch.read(base, VISITED)
+        known = known.unionByName(scratch.read(f"{base}-late", VISITED).select(*VISITED.names))
+        best = known.groupBy("query_id", "node_id").agg(F.min("hops").alias("_best"))
+        better = nearest.join(best, ["query_id", "node_id"], "left").filter(
+            F.col("_best").isNull() | (F.col("hops") < F.col("_best"))
+        )
+        rounds += 1
+        now = scratch.save(better.select(*VISITED.names), f"{base}-late/round={rounds}")
+    return scratch.read(f"{base}-late", VISITED).select(*VISITED.names)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from heirline.plans.scratch import Scratch, Stored
 
-DEEP_AFTER = 200
+DEEP_AFTER = 32
 PIECE_ROWS = 200_000
 
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import pytest
-from fixtures import Brute, Fixture, random_fixture, seeds_of
+from fixtures import Brute, Fixture, ids, pairs_of, random_fixture, seeds_of
 
 from heirline import InvalidCatalog, LineageGraph
-from heirline.operators import labels, risk, topo
+from heirline.operators import labels, reach, risk, topo
 
 
 def deep_fixture() -> Fixture:
@@ -32,6 +32,16 @@ def test_tail_gives_the_same(spark, piece_rows):
     assert graph.tail is not None and graph.depth == max(brute.layer.values()) + 1
     assert (graph.rounds < 10) == (piece_rows > 100)
     assert {r.node_id: r.hash for r in graph.hashes.collect()} == brute.hashes()
+    names = ["x00", "x29", "y11", fixture.nodes[0][0], fixture.nodes[3][0]]
+    for forward, direction in ((True, "forward"), (False, "backward")):
+        for limit in (None, 9):
+            rows = reach.reached(graph, ids(spark, *names), direction, limit).collect()
+            want = {(s, n): h for s in names for n, h in brute.hops(s, forward).items() if h <= (limit or h)}
+            assert {(r.query_id, r.node_id): r.hops for r in rows} == want
+            assert len(rows) == len(want)
+    asked = [(names[3], "x29"), (names[3], "x13"), ("x00", "x29"), ("x29", "x00"), (names[0], "y11")]
+    answers = {(r.src, r.dst): r.reachable for r in reach.can_reach(graph, pairs_of(spark, *asked)).collect()}
+    assert answers == {(a, b): b in brute.hops(a) for a, b in asked}
     scores = risk.propagate(graph, seeds_of(spark, fixture))
     assert {r.node_id: r.risk for r in scores.collect()} == pytest.approx(brute.risks(), abs=1e-12)
 
