@@ -7,6 +7,7 @@ it holds never change; new input makes a new graph.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -211,6 +212,28 @@ class LineageGraph:
 
         return hash_chain(self)
 
+    def extended(self, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> LineageGraph:
+        """A new graph with a further batch of artifacts and edges; this one stays as it is.
+
+        A row of the batch replaces the one with the same id or pair. The batch is
+        cleaned on its own, and the rows kept are those it does not name.
+        """
+
+        def merged(old: DataFrame, batch: DataFrame | None, clean: Callable, keys: list[str]) -> DataFrame:
+            if batch is None:
+                return old
+            new = clean(batch)
+            return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
+
+        return LineageGraph(
+            merged(self.nodes, nodes, clean_nodes, ["node_id"]),
+            merged(self.edges, edges, clean_edges, ["src", "dst"]),
+            unique=True,
+            hot_degree=self.hot_degree,
+            deep_after=self.deep_after,
+            piece_rows=self.piece_rows,
+        )
+
     def release(self) -> None:
         """Drop everything the graph has written."""
         self.scratch.release()

@@ -34,7 +34,7 @@ def test_tail_gives_the_same(spark, piece_rows):
     assert {r.node_id: r.hash for r in graph.hashes.collect()} == brute.hashes()
     names = ["x00", "x29", "y11", fixture.nodes[0][0], fixture.nodes[3][0]]
     for forward, direction in ((True, "forward"), (False, "backward")):
-        for limit in (None, 9):
+        for limit in (None, 9) if piece_rows > 100 else (None,):
             rows = reach.reached(graph, ids(spark, *names), direction, limit).collect()
             want = {(s, n): h for s in names for n, h in brute.hops(s, forward).items() if h <= (limit or h)}
             assert {(r.query_id, r.node_id): r.hops for r in rows} == want

@@ -73,6 +73,20 @@ def test_invalid_edges_names_them(spark):
     assert [(r.src, r.dst, r.problem) for r in found] == [("a", "q", "target not found")]
 
 
+def test_extended(spark, graphs):
+    graph = graphs("facade")
+    more = graph.extended(
+        spark.createDataFrame([("q", "product", {"n": "q"}, 0), ("t", "tool", {"n": "new"}, 0)], NODE),
+        spark.createDataFrame([("m", "q", 0.5, 0), ("t", "m", 0.1, 0)], EDGE),
+    )
+    assert (more.node_count, more.edge_count, graph.node_count, graph.edge_count) == (5, 4, 4, 3)
+    kept = {(r.src, r.dst): r.weight for r in more.edges.collect()}
+    assert kept == {("ds", "m"): 0.9, ("t", "m"): 0.1, ("m", "p"): 0.95, ("m", "q"): 0.5}
+    assert {r.node_id: r.content["n"] for r in more.nodes.collect()}["t"] == "new"
+    with pytest.raises(InvalidCatalog, match="cycle"):
+        _ = graph.extended(edges=spark.createDataFrame([("p", "ds", 0.5, 0)], EDGE)).layers
+
+
 def test_cycle(spark):
     nodes = models(spark, "a", "b", "c", "below", "free")
     edges = [("a", "b", 0.9, 0), ("b", "c", 0.9, 0), ("c", "a", 0.9, 0), ("c", "below", 0.9, 0)]
