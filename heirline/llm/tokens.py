@@ -21,7 +21,9 @@ from heirline.llm import words as W
 
 WORD_END = "</w>"
 # Distinct chunks that a task remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
+# Pieces that go through the merges together.
+JOINED = 2_000
 # The split rule of the vocabulary file for ASCII text in lower case (fixed values).
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+")
 SLICE_BYTES = 1 << 20
@@ -84,30 +86,37 @@ class ChunkEncoder:
 
     def forget(self) -> None:
         self.places: dict[int, int] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, list[int]] = {p: [i] for p, i in self.whole.items()}
         self.starts = np.zeros(0, np.int64)
         self.sizes = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
 
     def encode_new(self, chunks: list[str]) -> list[list[int]]:
         """Ids of each chunk."""
-        split: list[list[str]] = []
+        split, known, find = [], self.pieces, PIECES.findall
         rest: dict[str, None] = {}
         for chunk in chunks:
             # Only plain ASCII follows the rule above; all else, special strings too, is left to the library.
-            if chunk.isascii() and "<|" not in chunk:
-                parts = PIECES.findall(chunk.lower())
-            else:
-                parts = [chunk]
+            parts = find(chunk.lower()) if chunk.isascii() and "<|" not in chunk else [chunk]
             split.append(parts)
             for p in parts:
-                if p not in self.whole and p not in self.pieces:
+                if p not in known:
                     rest[p] = None
-        new = list(rest)
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.pieces[p] = e.ids
-        whole, pieces = self.whole, self.pieces
-        return [[i for p in parts for i in ([whole[p]] if p in whole else pieces[p])] for parts in split]
+        self.merge(list(rest))
+        return [known[parts[0]] if len(parts) == 1 else [i for p in parts for i in known[p]] for parts in split]
+
+    def merge(self, pieces: list[str]) -> None:
+        """Encode what the vocabulary does not hold as a whole: many pieces as one text with blanks between."""
+        for at in range(0, len(pieces), JOINED):
+            part = pieces[at : at + JOINED]
+            made = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ends = np.cumsum([len(p) + 1 for p in part])
+            begin = np.fromiter((a for a, _ in made.offsets), np.int64, len(made.ids))
+            cuts = np.searchsorted(begin, ends).tolist()
+            ids, last = made.ids, 0
+            for p, cut in zip(part, cuts, strict=True):
+                self.pieces[p] = ids[last:cut]
+                last = cut
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first, size, start) of the chunks: counts of ids per chunk and their place in the pool."""
@@ -118,7 +127,7 @@ class ChunkEncoder:
         keys = distinct.tolist()
         missing = [i for i, k in enumerate(keys) if k not in self.places]
         if missing:
-            made = self.encode_new([words.text(at[i]) for i in missing])
+            made = self.encode_new(words.texts(at[missing]))
             size = np.fromiter(map(len, made), np.int64, len(made))
             start = len(self.pool) + np.cumsum(size) - size
             for n, i in enumerate(missing, len(self.starts)):

@@ -94,6 +94,12 @@ class Words:
     def text(self, i: int) -> str:
         return self.data[self.begin[i] : self.end[i]].tobytes().decode("utf-8", "replace")
 
+    def texts(self, places: np.ndarray) -> list[str]:
+        """Texts of words without line feeds in them."""
+        data = memoryview(self.data)
+        parts = [data[a:b] for a, b in zip(self.begin[places].tolist(), self.end[places].tolist(), strict=True)]
+        return b"\n".join(parts).decode("utf-8", "replace").split("\n")
+
 
 def find_words(column: pa.Array, table: np.ndarray, lower: bool = True) -> Words:
     """The words of every text and their hashes, over whole texts."""
