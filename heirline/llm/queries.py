@@ -8,10 +8,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heirline.llm import packing, tokens
+from heirline.llm import decontaminate, neardup, packing, quality, substrings, tokens
 
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
@@ -21,6 +21,29 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+
+
+def quality_weights(docs: DataFrame, labels: DataFrame) -> np.ndarray:
+    """Learned from the labelled rows that are not held out."""
+    return quality.train(docs, labels.filter(~held_out()).select("doc_id", F.col("quality").alias("label")))
+
+
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """The quality score of every document; a third of the ids is held out from training."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = quality.score(spark, docs, quality_weights(docs, table(spark, folder, "labels")))
+    label = (F.col("score") >= 0.5).cast("int")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", label.alias("predicted"))
+
+
+def op2_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of 50 words or more that a document repeats from an earlier one."""
+    found = substrings.repeated_passages(spark, table(spark, folder, "documents"))
+    return found.select("doc_id", "source_id", "start_word", "n_words", "similarity")
+
+
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of all documents in sequences of 4096 tokens, with a checksum of their ids."""
     docs = table(spark, folder, "documents")
@@ -42,6 +65,17 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the best window of each item."""
+    return decontaminate.leaks(spark, table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """The near-duplicate group of every document by two-word shingles, and whether it is the one kept."""
+    found = neardup.near_duplicates(spark, table(spark, folder, "documents"), n=2)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes and tokens of every document, and whether it is longer than 2048 tokens."""
     counted = tokens.token_counts(spark, table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
@@ -49,7 +83,11 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_repeated_passages": op2_repeated_passages,
     "op4_packing": op4_packing,
+    "op7_benchmark_leaks": op7_benchmark_leaks,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE: dict[str, str] = {}
