@@ -11,10 +11,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heirline.llm import decontaminate, neardup, packing, quality, substrings, tokens
+from heirline.llm import chat, decontaminate, neardup, packing, quality, shards, substrings, tokens
 
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
+PROBE_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -44,6 +45,11 @@ def op2_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "source_id", "start_word", "n_words", "similarity")
 
 
+def op3_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in 24 shards of as many rows, equal texts side by side."""
+    return shards.assign_shards(spark, table(spark, folder, "documents"))
+
+
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of all documents in sequences of 4096 tokens, with a checksum of their ids."""
     docs = table(spark, folder, "documents")
@@ -65,6 +71,36 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_chats(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of the turns and of the trained texts as read back from the formatted conversations.
+
+    Conversation -1, whose texts hold control strings, is formatted along.
+    """
+    probe = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(PROBE_TEXT).alias("text"),
+    )
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    made = chat.format_chats(turns)
+    read = made.select(
+        "conv_id",
+        chat.read_turns(F.col("text")).alias("turns"),
+        F.array_join(chat.loss_texts(F.col("text"), F.col("loss")), "").alias("trained"),
+        F.length("text").cast("long").alias("formatted_chars"),
+    )
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("trained").cast("long").alias("loss_chars"),
+        F.sha2("trained", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 def op7_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a benchmark item, with the best window of each item."""
     return decontaminate.leaks(spark, table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -85,9 +121,33 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_repeated_passages": op2_repeated_passages,
+    "op3_shards": op3_shards,
     "op4_packing": op4_packing,
+    "op6_chats": op6_chats,
     "op7_benchmark_leaks": op7_benchmark_leaks,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_chats": """
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+            UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+        ), marked AS (
+            SELECT *,
+                length(replace(replace(text, '\\', '\\\\'), '<|', '<\\|')) AS n_text,
+                length(replace(replace(replace(role, '\\', '\\\\'), '<|', '<\\|'), chr(10), '\\n')) AS n_role,
+                coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) = role, false) AS goes_on
+            FROM turns
+        )
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), ''))
+                AS loss_sha256,
+            CAST(sum(n_text + CASE WHEN goes_on THEN length('<|im_sep|>')
+                ELSE length('<|im_start|>') + n_role + 1 + length('<|im_end|>') + 1 END) AS BIGINT) AS formatted_chars
+        FROM marked GROUP BY conv_id
+    """,
+}
