@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heirline.llm import chat, decontaminate, neardup, packing, quality, shards, substrings, tokens
+from heirline.llm import chat, decontaminate, neardup, neighbours, packing, quality, shards, substrings, tokens
 
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
@@ -54,20 +52,8 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of all documents in sequences of 4096 tokens, with a checksum of their ids."""
     docs = table(spark, folder, "documents")
     pieces = packing.pack(spark, docs, public_tokenizers.path(TOKENIZER))
-
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(batch.num_columns - 1)
-            flat = ids.values.to_numpy(zero_copy_only=False).astype("<u4")
-            ends = ids.offsets.to_numpy()
-            sums = [zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            rest = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(np.array(sums, np.int64))], [*batch.schema.names[:-1], "ids_crc32"])
-
-    named = pieces.select("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids")
-    schema = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long"
-    return named.mapInArrow(checked, schema).select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
 
 
@@ -106,6 +92,11 @@ def op7_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(spark, table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op8_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 vectors of largest inner product with every vector whose id is divisible by 20."""
+    return neighbours.nearest(spark, table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """The near-duplicate group of every document by two-word shingles, and whether it is the one kept."""
     found = neardup.near_duplicates(spark, table(spark, folder, "documents"), n=2)
@@ -125,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op6_chats": op6_chats,
     "op7_benchmark_leaks": op7_benchmark_leaks,
+    "op8_nearest_vectors": op8_nearest_vectors,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_token_counts": op10_token_counts,
 }
