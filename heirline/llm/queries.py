@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heirline.llm import chat, decontaminate, neardup, neighbours, packing, quality, shards, substrings, tokens
+from heirline.llm import chat, decontaminate, licenses, neardup, neighbours, packing, quality, shards, substrings, tokens
 
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
@@ -57,6 +57,11 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases, labels and score of every document."""
+    return licenses.scan_licenses(spark, table(spark, folder, "documents")).drop("spans")
+
+
 def op6_chats(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of the turns and of the trained texts as read back from the formatted conversations.
 
@@ -114,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_repeated_passages": op2_repeated_passages,
     "op3_shards": op3_shards,
     "op4_packing": op4_packing,
+    "op5_licenses": op5_licenses,
     "op6_chats": op6_chats,
     "op7_benchmark_leaks": op7_benchmark_leaks,
     "op8_nearest_vectors": op8_nearest_vectors,
