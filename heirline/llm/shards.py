@@ -3,7 +3,7 @@
 Documents start on a shard by a hash. Documents with the same text and shard form a cell, and cells are the
 units that move. In each round every group of equal texts wants to be where most of it is; moves
 are accepted up to a quota per shard, so that no shard holds more linked documents than it has room
-for. At the end a shard with too many documents gives the excess, unlinked documents first, to those with too few, and
+for; a group too large for that gathers on ever fewer shards. At the end a shard with too many documents gives the excess, unlinked documents first, to those with too few, and
 counts differ by one at most. All steps are joins and aggregates of DataFrames; the driver sees only a flow of shards x shards numbers.
 """
 
@@ -44,16 +44,21 @@ def _propagate(scratch: Scratch, cells: DataFrame, room: list[int], rounds: int)
         load = [0] * shards
         for shard, n in there.groupBy("shard").agg(F.sum("weight")).collect():
             load[shard] = n
-        # A shard without room is no aim, except for what is there already.
+        # Shards without room are no aim. The places of a group, at most one per shard, by falling weight.
         full = [j for j in range(shards) if load[j] >= room[j]]
-        best = there.groupBy("text_id").agg(
-            F.max_by("shard", F.struct(~F.col("shard").isin(full), "weight", -F.col("shard"))).alias("aim"),
-            F.max(F.when(~F.col("shard").isin(full), F.col("weight"))).alias("aim_weight"),
-        )
-        wish = now.join(there, ["text_id", "shard"]).join(best, "text_id")
-        moves = (F.col("aim") != F.col("shard")) & F.col("aim_weight").isNotNull()
-        # A full shard keeps what it has gathered.
-        moves &= (F.col("aim_weight") >= F.col("weight")) | ~F.col("shard").isin(full)
+        open_there = there.filter(~F.col("shard").isin(full))
+        places = F.sort_array(F.collect_list(F.struct("weight", (-F.col("shard")).alias("shard"))), asc=False)
+        best = open_there.groupBy("text_id").agg(places.alias("places"))
+        wish = now.join(there, ["text_id", "shard"]).join(best, "text_id", "left")
+        count = F.size("places")
+        own = F.array_position(F.transform("places", lambda p: -p["shard"]), F.col("shard"))
+        # A group goes where most of it is; the lighter half of a large group's places goes to the heavier half.
+        target = F.when(large & (own * 2 > count + 1), F.get("places", (count - own).cast("int"))).when(~large, F.get("places", F.lit(0)))
+        wish = wish.withColumn("aim", -target["shard"]).withColumn("aim_weight", target["weight"])
+        # What has gathered in a full shard leaves it only for as many.
+        stays = F.col("shard").isin(full) & (F.col("aim_weight") < F.col("weight"))
+        moves = F.coalesce((F.col("aim") != F.col("shard")) & ~stays, F.lit(False))
+        wish = wish.drop("places")
         wish = scratch.save(wish.withColumn("moves", moves), scratch.place("wishes")).df
         flows = wish.filter("moves").groupBy("shard", "aim").agg(F.sum("n")).collect()
         flow = {(i, j): n for i, j, n in flows}
