@@ -18,13 +18,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heirline.llm import words as W
-from heirline.llm.tokens import SLICE_BYTES, ChunkEncoder, prepared
+from heirline.llm.tokens import SLICE_BYTES, encoder_of, prepared
 from heirline.plans.scratch import Scratch
 
 WINDOW_TOKENS = 4096
 OPEN_WINDOWS = 32
 END_ID = 2
-PIECE = "doc_id long, start long, length long, doc_tokens long, part int, window long, offset long, ids array<int>"
+ID_BYTES = 4
+PIECE = "doc_id long, start long, length long, doc_tokens long, part int, window long, offset long, ids binary"
 
 
 class Packer:
@@ -77,8 +78,9 @@ class Packer:
 def pieces_table(rows: list[tuple]) -> pa.RecordBatch:
     """rows: (piece, part, window, offset)."""
     length = np.array([len(p[3]) for p, *_ in rows], np.int64)
-    flat = np.concatenate([p[3] for p, *_ in rows]).astype(np.int32)
-    ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(flat))
+    flat = np.concatenate([p[3] for p, *_ in rows]).astype("<u4")
+    ends = np.concatenate([[0], np.cumsum(length) * ID_BYTES]).astype(np.int32)
+    ids = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
     whole = [
         pa.array([p[0] for p, *_ in rows], pa.int64()),
         pa.array([p[1] for p, *_ in rows], pa.int64()),
@@ -121,14 +123,14 @@ def pack(
     """Pieces (doc_id, start, length, doc_tokens, sequence_id, offset, ids) of full sequences.
 
     Every id of every document, ``end_id`` behind each included, lies in exactly one piece. All sequences
-    have ``size`` ids but the last few, whose lengths are powers of two. A null text
+    have ``size`` ids but the last few, whose lengths are powers of two. ``ids`` is binary, four bytes a little-endian id. A null text
     is empty and has only ``end_id``; repeated rows are packed each; an empty table gives no rows. Only
     doc_id and text are read.
     """
     shared = spark.sparkContext.broadcast(prepared(path))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(*shared.value)
+        encoder = encoder_of(shared.value)
         part = TaskContext.get().partitionId()
         packer = Packer(size, most_open)
         number, out, held = 0, [], 0
@@ -208,6 +210,6 @@ def merged(pieces: DataFrame, size: int) -> DataFrame:
         "doc_tokens",
         (F.lit(sequences) + number).cast("long").alias("sequence_id"),
         (F.col("_at") - begin).cast("long").alias("offset"),
-        F.slice("ids", (skipped + 1).cast("int"), (until - F.col("_at")).cast("int")).alias("ids"),
+        F.col("ids").substr((skipped * ID_BYTES + 1).cast("int"), ((until - F.col("_at")) * ID_BYTES).cast("int")).alias("ids"),
     )
     return known.unionByName(late)
