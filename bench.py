@@ -71,7 +71,7 @@ def main() -> None:
     timed("risk", lambda: work.once("scores", lambda: risk.propagate(graph, catalog_seeds(spark, FOLDER))))
     timed("risk_summary", lambda: risk.risk_summary(work.scores))
     timed("risk_topk", lambda: risk.top_risks(work.scores, 20))
-    timed("diffusion", lambda: risk.diffuse(graph, work.scores)[0])
+    timed("diffusion", lambda: risk.diffuse(graph, work.seeds.withColumnRenamed("probability", "risk"))[0])
     timed("tamper_check", lambda: merkle.detect_tampering(work.poisoned_hashes, graph.hashes))
     one = work.all_of("supplier", "supplier", "s_suppkey").filter("node_id = 'supplier_7'")
     timed("impact_one", lambda: impact.impacted(graph, one, None, work.scores))

@@ -132,9 +132,10 @@ class LineageGraph:
 
     @cached_property
     def buckets(self) -> int:
-        """Bucket count of the adjacency tables, from their size."""
+        """Bucket count of the adjacency tables, from their size, within what Spark allows."""
         by_size = -(-self.edge_count * EDGE_BYTES // BUCKET_BYTES)
-        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), by_size)
+        most = int(self.spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+        return min(most, max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), by_size))
 
     @cached_property
     def forward(self) -> Adjacency:

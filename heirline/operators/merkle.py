@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 from heirline.functions.scalar import own_payload, parent_payload, sha256_hex
 from heirline.plans.adjacency import hot_limit
 from heirline.plans.frontier import neighbours, walk
+from heirline.plans.prefix import running_total
+from heirline.plans.scratch import Scratch
 from heirline.plans.sweep import sweep, with_parent_values
 from heirline.plans.tail import tail_pass
 
 HUB_CHUNK = 100_000
+# Parent ids in one row of a listing.
+LIST_ROWS = 10_000
 
 
 def own_payloads(nodes: DataFrame) -> DataFrame:
@@ -57,7 +61,7 @@ def hub_hashes(own: DataFrame, parents: DataFrame, links: int) -> DataFrame:
     return ordered.mapInPandas(_stream_digests, "node_id string, hash string")
 
 
-def hash_from_parents(own: DataFrame, parents: DataFrame, hubs: DataFrame | None, links: int) -> DataFrame:
+def hash_from_parents(own: DataFrame, parents: DataFrame, hubs: DataFrame | None) -> DataFrame:
     """(node_id, hash) from own payloads and (node_id, parent_hash) rows.
 
     Vertices in ``hubs`` go through :func:`hub_hashes`; for the others the sorted
@@ -73,7 +77,9 @@ def hash_from_parents(own: DataFrame, parents: DataFrame, hubs: DataFrame | None
         return plain(own, parents)
     big = F.broadcast(hubs.select("node_id"))
     light = plain(own.join(big, "node_id", "left_anti"), parents.join(big, "node_id", "left_anti"))
-    heavy = hub_hashes(own.join(big, "node_id", "left_semi"), parents.join(big, "node_id", "left_semi"), links)
+    # The ranges are sized by the links of these hubs, not by those of the whole graph.
+    above = parents.join(big, "node_id", "left_semi")
+    heavy = hub_hashes(own.join(big, "node_id", "left_semi"), above, above.count())
     return light.unionByName(heavy)
 
 
@@ -93,7 +99,7 @@ def hash_chain(graph, nodes: DataFrame | None = None) -> DataFrame:
     same edges.
     """
     own = own_payloads(graph.nodes if nodes is None else nodes).drop("node_type").join(graph.round_of, "node_id")
-    stored = graph.scratch.save(own, graph.scratch.place("own"), partition_by=("layer",))
+    stored = graph.scratch.save(own.hint("rebalance", "layer"), graph.scratch.place("own"), partition_by=("layer",))
 
     def of_layer(layer: int) -> DataFrame:
         return graph.scratch.read(stored.path, stored.df.schema, f"layer={layer}").drop("layer")
@@ -101,7 +107,7 @@ def hash_chain(graph, nodes: DataFrame | None = None) -> DataFrame:
     def step(layer: int, edges: DataFrame, finished: DataFrame) -> DataFrame:
         joined = with_parent_values(graph, edges, finished)
         parents = joined.select(F.col("dst").alias("node_id"), F.col("hash").alias("parent_hash"))
-        return hash_from_parents(of_layer(layer), parents, graph.hot_targets, graph.edge_count)
+        return hash_from_parents(of_layer(layer), parents, graph.hot_targets)
 
     def last(edges: DataFrame, finished: DataFrame) -> DataFrame:
         joined = with_parent_values(graph, edges, finished)
@@ -113,18 +119,20 @@ def hash_chain(graph, nodes: DataFrame | None = None) -> DataFrame:
     return sweep(graph, "hashes", roots, step, last)
 
 
-def parent_lists(graph) -> DataFrame:
-    """(node_id, part, parents) with ids ascending; no row for a root.
+def listed_parents(scratch: Scratch, links: DataFrame, keys: list[str], size: int = LIST_ROWS) -> DataFrame:
+    """(keys, part, parents) from (keys, parent_id): the ids ascending, at most ``size`` in a row.
 
-    A vertex with very many parents has several parts, split by its salts; every other
-    vertex has part 0 only.
+    Part 0 holds the first ``size`` ids, part 1 the next, and so on, so the rows depend on the ids alone.
     """
-    table = graph.backward.table
-    part = F.col("near_salt") if graph.hot_targets is not None else F.lit(0)
-    return (
-        table.groupBy(F.col("near").alias("node_id"), part.alias("part"))
-        .agg(F.array_sort(F.collect_list("far")).alias("parents"))
-    )
+    placed = running_total(scratch, links, ["parent_id"], F.lit(1), "_place", keys)
+    part = F.floor(F.col("_place") / size).cast("int").alias("part")
+    return placed.groupBy(*keys, part).agg(F.array_sort(F.collect_list("parent_id")).alias("parents"))
+
+
+def parent_lists(graph, size: int = LIST_ROWS) -> DataFrame:
+    """(node_id, part, parents) with ids ascending, at most ``size`` in a row; no row for a root."""
+    links = graph.backward.table.select(F.col("near").alias("node_id"), F.col("far").alias("parent_id"))
+    return listed_parents(graph.scratch, links, ["node_id"], size)
 
 
 def detect_tampering(hashes: DataFrame, expected: DataFrame) -> DataFrame:
@@ -161,9 +169,10 @@ class Proof:
     parents of every entry. Both are plain tables that may be written and read again.
     """
 
-    def __init__(self, entries: DataFrame, links: DataFrame):
+    def __init__(self, entries: DataFrame, links: DataFrame, scratch: Scratch | None = None):
         self.entries = entries
         self.links = links
+        self.scratch = scratch or Scratch(entries.sparkSession)
 
     def targets(self) -> DataFrame:
         """(target, target_hash, chain_length) per proof."""
@@ -174,14 +183,16 @@ class Proof:
         )
 
     def chain(self) -> DataFrame:
-        """(proof_id, node_id, node_type, hash, parents) with parent ids ascending."""
-        lists = self.links.groupBy("proof_id", "node_id").agg(
-            F.array_sort(F.collect_list("parent_id")).alias("parents")
-        )
+        """(proof_id, node_id, part, node_type, own, hash, parents) with parent ids ascending.
+
+        As in :func:`parent_lists`, an entry with very many parents has several parts.
+        """
+        lists = listed_parents(self.scratch, self.links, ["proof_id", "node_id"])
         none = F.array().cast("array<string>")
         return self.entries.join(lists, ["proof_id", "node_id"], "left").select(
-            "proof_id", "node_id", "node_type", "hash", F.coalesce("parents", none).alias("parents")
-        )
+            "proof_id", "node_id", F.coalesce("part", F.lit(0)).alias("part"), "node_type", "own", "hash",
+            F.coalesce("parents", none).alias("parents"),
+        )
 
 
 def prove(graph, targets: DataFrame) -> Proof:
@@ -198,7 +209,7 @@ def prove(graph, targets: DataFrame) -> Proof:
     )
     stored = graph.scratch.save(links, graph.scratch.place("proof-links"))
     columns = ["proof_id", "node_id", "node_type", "own", "hash"]
-    return Proof(entries.df.select(*columns), stored.df)
+    return Proof(entries.df.select(*columns), stored.df, graph.scratch)
 
 
 def verify(proof: Proof, nodes: DataFrame | None = None, hub_parents: int = 200_000) -> DataFrame:
@@ -226,7 +237,6 @@ def verify(proof: Proof, nodes: DataFrame | None = None, hub_parents: int = 200_
         entries.select(ident.alias("node_id"), "own"),
         joined.select(ident.alias("node_id"), "parent_hash"),
         hubs if (stats.top or 0) > limit else None,
-        stats.links or 0,
     ).withColumnRenamed("hash", "_computed")
 
     holes = joined.filter(F.col("parent_hash").isNull()).select("proof_id").distinct().withColumn("_hole", F.lit(True))

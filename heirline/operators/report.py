@@ -24,10 +24,10 @@ def build_summary(graph) -> DataFrame:
     )
 
 
-def compromise(graph, seeds: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(scores, summary, highest scores) for a set of compromised artifacts."""
+def compromise(graph, seeds: DataFrame, top: int = TOP_RISKS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scores, summary, ``top`` highest scores) for a set of compromised artifacts."""
     scores = propagate(graph, seeds)
-    return scores, risk_summary(scores), top_risks(scores, TOP_RISKS)
+    return scores, risk_summary(scores), top_risks(scores, top)
 
 
 def impact_query(graph, ids: DataFrame, k: int | None = None, scores: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -74,7 +74,10 @@ def proof_verdict(proof: Proof, nodes: DataFrame | None = None) -> DataFrame:
 
 
 def hash_listing(graph) -> DataFrame:
-    """(node_id, part, hash, parents) in id order; a vertex without parents has an empty list."""
+    """(node_id, part, hash, parents) in id order; a vertex without parents has an empty list.
+
+    Lists go on in further parts as in :func:`parent_lists`.
+    """
     lists = parent_lists(graph)
     rows = graph.hashes.select("node_id", "hash").join(lists, "node_id", "left")
     none = F.array().cast("array<string>")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,10 +96,32 @@ def diffuse(
     Stops when no score changes by ``tolerance`` or more. The edges are bucketed by
     source, so a round shuffles scores and partial products only.
     """
+    found = diffusion(graph, start, damping, rounds, tolerance)
+    return found.scores, found.rounds
+
+
+@dataclass(frozen=True)
+class Diffusion:
+    """Scores after ``rounds`` rounds; ``change`` is the largest of the last one, 0.0 without any."""
+
+    scores: DataFrame
+    rounds: int
+    change: float
+    converged: bool
+
+
+def diffusion(
+    graph,
+    start: DataFrame,
+    damping: float = DIFFUSION_DAMPING,
+    rounds: int = DIFFUSION_ROUNDS,
+    tolerance: float = DIFFUSION_TOLERANCE,
+) -> Diffusion:
+    """As :func:`diffuse`, and whether it came to its stop."""
     scratch = graph.scratch
     current = scratch.save(all_scores(graph.nodes, start), scratch.place("diffusion")).df
-    done = 0
-    while done < rounds:
+    done, change, converged = 0, 0.0, False
+    while done < rounds and not converged:
         met = graph.forward.meet(current.filter(F.col("risk") > 0))
         safe = met.select(F.col("far").alias("node_id"), (1.0 - F.col("weight") * F.col("risk")).alias("safe"))
         pushed = safe.groupBy("node_id").agg(noisy_or("safe").alias("_pushed"))
@@ -111,9 +134,9 @@ def diffuse(
         stored = scratch.save(moved, scratch.place("diffusion"), figures={"delta": F.max(F.abs("change"))})
         current = stored.df.select("node_id", "risk")
         done += 1
-        if (stored.figures["delta"] or 0.0) < tolerance:
-            break
-    return current, done
+        change = stored.figures["delta"] or 0.0
+        converged = change < tolerance
+    return Diffusion(current, done, change, converged)
 
 
 def risk_of(scores: DataFrame, ids: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heirline.plans.adjacency import hot_vertices, repeat_hot
+from heirline.plans.adjacency import hot_limit, hot_vertices, repeat_hot
 from heirline.plans.scratch import Stored
 from heirline.plans.sweep import slice_of
 
@@ -21,15 +21,15 @@ VISITED = T.StructType(
         T.StructField("hops", T.IntegerType()),
     ]
 )
-WALK_ROWS = 20_000_000_000
+# Frontiers of at most so many rows are pushed into the scan as a list of ids.
+LISTED_IDS = 2_000
 
 
-def short_id_list(graph, frontier: Stored) -> list[str] | None:
-    """Ids of a frontier of a few rows, for pushing into the scan; None if longer.
+def short_id_list(frontier: Stored, limit: int = LISTED_IDS) -> list[str] | None:
+    """Ids of a frontier of at most ``limit`` rows, for pushing into the scan; None if longer.
 
-    The limit is the list length up to which Parquet scans use exact ids.
+    The scan then opens only the buckets of these ids. A longer frontier reaches most buckets.
     """
-    limit = int(graph.spark.conf.get("spark.sql.parquet.pushdown.inFilterThreshold", "10"))
     if frontier.rows > limit:
         return None
     return sorted({r.node_id for r in frontier.df.select("node_id").take(limit)})
@@ -40,7 +40,7 @@ def crowded(graph, frontier: Stored, queries: int) -> DataFrame | None:
 
     A query stands on a vertex once, so this can only happen with that many queries.
     """
-    limit = graph.split_degree
+    limit = hot_limit(frontier.rows, graph.hot_degree)
     if min(queries, frontier.rows) <= limit:
         return None
     counts = frontier.df.groupBy("node_id").agg(F.count(F.lit(1)).alias("degree"))
@@ -59,7 +59,7 @@ def neighbours(graph, frontier: Stored, direction: str, queries: int) -> DataFra
     columns = [*kept, "_at", F.col("far").alias("node_id")]
     crowd = crowded(graph, frontier, queries)
     if crowd is None:
-        return side.meet(frontier.df, short_id_list(graph, frontier)).select(*columns)
+        return side.meet(frontier.df, short_id_list(frontier)).select(*columns)
     names = F.broadcast(crowd.select("node_id"))
     few = side.meet(frontier.df.join(names, "node_id", "left_anti")).select(*columns)
     many = frontier.df.join(F.broadcast(crowd), "node_id").withColumn(
@@ -77,30 +77,14 @@ def walk(graph, starts: DataFrame, direction: str, max_hops: int | None = None)
 
     ``starts`` holds (query_id, node_id) and may hold ``budget``, the number of hops
     after which that start stops. Vertices already reached are pruned each
-    round, so a row appears once, with its least hops. If all starts together could
-    fill more than ``WALK_ROWS`` rows, they are walked in several batches.
+    round, so a row appears once, with its least hops. All starts walk together, whatever their
+    number: every round is written, so only disk bounds them.
     """
-    base = graph.scratch.place(f"walk-{direction}")
-    budget = F.max("budget" if "budget" in starts.columns else F.lit(None)).cast("int").alias("budget")
-    given = graph.scratch.save(starts.groupBy("query_id", "node_id").agg(budget), f"{base}/starts")
-    batches = max(1, -(-given.rows * graph.node_count // WALK_ROWS))
-    found = []
-    for batch in range(batches):
-        rows = given.df
-        if batches > 1:
-            rows = rows.filter(F.pmod(F.xxhash64("query_id"), F.lit(batches)) == batch)
-        found.append(_walk_batch(graph, rows, direction, max_hops, f"{base}/batch={batch}", given.rows))
-    whole = found[0]
-    for part in found[1:]:
-        whole = whole.unionByName(part)
-    return whole
-
-
-def _walk_batch(
-    graph, starts: DataFrame, direction: str, max_hops: int | None, base: str, queries: int
-) -> DataFrame:
     scratch = graph.scratch
-    frontier = scratch.save(starts, f"{base}/hops=0")
+    base = scratch.place(f"walk-{direction}")
+    budget = F.max("budget" if "budget" in starts.columns else F.lit(None)).cast("int").alias("budget")
+    frontier = scratch.save(starts.groupBy("query_id", "node_id").agg(budget), f"{base}/hops=0")
+    queries = frontier.rows
     hops = 0
     late = None
     while frontier.rows and (max_hops is None or hops < max_hops):

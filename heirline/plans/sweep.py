@@ -15,14 +15,11 @@ from pyspark.sql import types as T
 from heirline.plans.adjacency import repeat_hot
 from heirline.plans.scratch import Stored
 
-MANY_LAYERS = 64
-
 
 def edge_slices(graph) -> Stored:
     """(src, dst, weight[, salts]) partitioned by ``layer``, that of ``dst``, -1 in the tail.
 
-    The edges are bucketed by target already, so only the layers are shuffled. With
-    many layers a rebalance keeps the number of files down and splits a large layer.
+    A rebalance keeps the number of files down, whatever the number of layers, and splits a large layer.
     """
     placed = graph.backward.meet(graph.round_of)
     salts = [
@@ -31,9 +28,7 @@ def edge_slices(graph) -> Stored:
         if c in graph.backward.table.columns
     ]
     rows = placed.select(F.col("far").alias("src"), F.col("near").alias("dst"), "weight", *salts, "layer")
-    if graph.rounds > MANY_LAYERS:
-        rows = rows.hint("rebalance", "layer")
-    return graph.scratch.save(rows, graph.scratch.place("slices"), partition_by=("layer",))
+    return graph.scratch.save(rows.hint("rebalance", "layer"), graph.scratch.place("slices"), partition_by=("layer",))
 
 
 def slice_of(graph, layer: int) -> DataFrame:

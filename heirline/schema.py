@@ -40,27 +40,6 @@ EDGES = T.StructType(
     ]
 )
 
-SEEDS = T.StructType(
-    [
-        T.StructField("node_id", T.StringType(), False),
-        T.StructField("probability", T.DoubleType()),
-    ]
-)
-
-EXPECTED = T.StructType(
-    [
-        T.StructField("node_id", T.StringType(), False),
-        T.StructField("hash", T.StringType()),
-    ]
-)
-
-PAIRS = T.StructType(
-    [
-        T.StructField("src", T.StringType(), False),
-        T.StructField("dst", T.StringType(), False),
-    ]
-)
-
 EDITS = T.StructType(
     [
         T.StructField("node_id", T.StringType(), False),

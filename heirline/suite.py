@@ -182,7 +182,7 @@ def node_parents(w: Workspace) -> DataFrame:
 
 def parent_lists(w: Workspace) -> DataFrame:
     sized = merkle.parent_lists(w.graph).withColumn("n", F.size("parents").cast("long"))
-    return listing(sized.select("node_id", "parents", "n"), "parents")
+    return listing(sized.select("node_id", F.col("part").cast("long").alias("part"), "parents", "n"), "parents")
 
 
 def known_ids(w: Workspace) -> DataFrame:
@@ -257,7 +257,7 @@ def merkle_hashes(w: Workspace) -> DataFrame:
 
 
 def hash_listing(w: Workspace) -> DataFrame:
-    return listing(report.hash_listing(w.graph).drop("part"), "parents")
+    return listing(report.hash_listing(w.graph).withColumn("part", F.col("part").cast("long")), "parents")
 
 
 def tamper_check(w: Workspace) -> DataFrame:
@@ -279,7 +279,7 @@ def proof_targets(w: Workspace) -> DataFrame:
 
 
 def proof_rows(w: Workspace) -> DataFrame:
-    return listing(report.proof_report(_proof(w))[1], "parents")
+    return listing(report.proof_report(_proof(w))[1].withColumn("part", F.col("part").cast("long")), "parents")
 
 
 def proof_verdict(w: Workspace) -> DataFrame:
@@ -316,6 +316,75 @@ def diffuse_rounds(w: Workspace) -> DataFrame:
     return risk.diffuse(w.graph, start, rounds=2)[0].withColumn("risk", shown(F.col("risk")))
 
 
+def diffusion_stop(w: Workspace) -> DataFrame:
+    """Damped rounds from the bare seeds until nothing changes: how many, and what came out."""
+    start = w.seeds.select("node_id", F.col("probability").alias("risk"))
+    found = risk.diffusion(w.graph, start)
+    return found.scores.agg(F.round(F.sum("risk"), 3).alias("total_risk")).select(
+        F.lit(found.rounds).cast("long").alias("rounds"),
+        F.lit(found.converged).alias("converged"),
+        F.lit(round(found.change, 6)).alias("change"),
+        "total_risk",
+    )
+
+
+def risk_ranking(w: Workspace) -> DataFrame:
+    return risk.ranked(w.even_scores)
+
+
+def compromise_answer(w: Workspace) -> DataFrame:
+    """The summary and the ids of the highest risks, as one answer."""
+    summary = risk.risk_summary(w.scores)
+    # Five rows and one row.
+    best = risk.top_risks(w.even_scores, 5).agg(F.array_sort(F.collect_list(F.struct((-F.col("risk")).alias("r"), "node_id"))).alias("b"))
+    highest = best.select(F.concat_ws(">", F.transform("b", lambda x: x["node_id"])).alias("highest"))
+    levels = [F.col("level_counts")[n].alias(n.lower()) for n in risk.LEVEL_NAMES]
+    ends = [shown(F.col(c)).alias(c) for c in ("max_risk", "min_risk")]
+    return summary.select("total_nodes", "mean_risk", *ends, *levels).join(highest, how="left")
+
+
+def root_nodes(w: Workspace) -> DataFrame:
+    return w.graph.roots
+
+
+def leaf_nodes(w: Workspace) -> DataFrame:
+    return w.graph.leaves
+
+
+def seed_nodes(w: Workspace) -> DataFrame:
+    return ingest.clean_seeds(w.seeds)
+
+
+def invalid_nodes(w: Workspace) -> DataFrame:
+    """Customers offered as artifacts of their market segment."""
+    offered = w.table("customer").select(
+        node_key("customer", "c_custkey").alias("node_id"), F.lower("c_mktsegment").alias("node_type")
+    )
+    return ingest.invalid_nodes(offered)
+
+
+def extended_catalog(w: Workspace) -> DataFrame:
+    """The edges after a further batch: from a part to every order, some of them known with another weight."""
+    parts = w.table("part").count()
+    drawn = w.table("orders").select("o_orderkey", (F.col("o_orderkey") % parts).alias("p_partkey"))
+    batch = drawn.join(w.table("part").select("p_partkey"), "p_partkey").select(
+        node_key("part", "p_partkey").alias("src"), node_key("order", "o_orderkey").alias("dst"), F.lit(0.25).alias("weight")
+    )
+    further = w.once("extended", lambda: w.graph.extended(edges=batch))
+    return rounded(further.edges.select("src", "dst", "weight"), "weight")
+
+
+def path_check(w: Workspace) -> DataFrame:
+    """Claimed ways from every supplier over a part to the order after the one it was used for."""
+    claimed = w.table("lineitem").select(
+        node_key("supplier", "l_suppkey").alias("src"),
+        node_key("part", "l_partkey").alias("mid"),
+        F.concat(F.lit("order_"), (F.col("l_orderkey") + 1).cast("string")).alias("dst"),
+    )
+    trails = claimed.select("src", "dst", F.array("src", "mid", "dst").alias("path")).distinct()
+    return paths.broken_steps(trails, w.graph.edges).withColumn("step", F.col("step").cast("long"))
+
+
 IMPACT = ["query_id", "node_id", "node_type", "risk", "risk_level", "hops"]
 
 
@@ -399,7 +468,17 @@ def interval_members(w: Workspace) -> DataFrame:
 
 def _synthetic(w: Workspace) -> tuple[DataFrame, DataFrame]:
     numbers = w.table("part").select(F.col("p_partkey").alias("i"))
-    return synthetic_dag(numbers, numbers.count())
+    size = numbers.count()
+    return synthetic_dag(numbers, size, 2 * size)
+
+
+def _chain(w: Workspace) -> LineageGraph:
+    return w.once("chain", lambda: LineageGraph(*_synthetic(w), unique=True))
+
+
+def synthetic_layers(w: Workspace) -> DataFrame:
+    """Layers of a graph as deep as it has vertices."""
+    return _chain(w).layers.select("node_id", F.col("layer").cast("long").alias("layer"))
 
 
 def synthetic_nodes(w: Workspace) -> DataFrame:
@@ -460,6 +539,16 @@ QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {
     "interval_members": interval_members,
     "synthetic_nodes": synthetic_nodes,
     "synthetic_edges": synthetic_edges,
+    "synthetic_layers": synthetic_layers,
+    "root_nodes": root_nodes,
+    "leaf_nodes": leaf_nodes,
+    "seed_nodes": seed_nodes,
+    "invalid_nodes": invalid_nodes,
+    "risk_ranking": risk_ranking,
+    "compromise_answer": compromise_answer,
+    "extended_catalog": extended_catalog,
+    "path_check": path_check,
+    "diffusion_stop": diffusion_stop,
 }
 
 

@@ -150,6 +150,10 @@ def label_chain() -> str:
     return ",\n".join(ctes)
 
 
+LISTS = """
+places AS (SELECT dst AS node_id, src, (row_number() OVER (PARTITION BY dst ORDER BY src) - 1) // 10000 AS part FROM edges),
+lists AS (SELECT node_id, part::BIGINT AS part, string_agg(src, '>' ORDER BY src) AS parents, count(*) AS n FROM places GROUP BY ALL)"""
+
 LAYERS = """lens AS (
   SELECT node_id, 0 AS len FROM nodes WHERE node_id NOT IN (SELECT dst FROM edges)
   UNION SELECT e.dst, l.len + 1 FROM lens l JOIN edges e ON e.src = l.node_id),
@@ -215,6 +219,28 @@ def report_sql() -> str:
     )
 
 
+def diffusion_sql(rounds: int = 15) -> str:
+    """Damped rounds from the bare seeds until the largest change is below 1e-6."""
+    ctes = ["d0 AS (SELECT n.node_id, coalesce(s.p, 0.0) AS risk FROM nodes n LEFT JOIN seeds s ON s.node_id = n.node_id)"]
+    for k in range(1, rounds + 1):
+        ctes.append(
+            f"p{k} AS MATERIALIZED (SELECT e.dst, 1.0 - product(1.0 - e.weight * d.risk) AS pushed "
+            f"FROM edges e JOIN d{k - 1} d ON d.node_id = e.src GROUP BY e.dst),\n"
+            f"d{k} AS MATERIALIZED (SELECT d.node_id, CASE WHEN p.pushed IS NULL THEN d.risk "
+            f"ELSE greatest(d.risk, 0.85 * p.pushed + (1.0 - 0.85) * d.risk) END AS risk "
+            f"FROM d{k - 1} d LEFT JOIN p{k} p ON p.dst = d.node_id),\n"
+            f"c{k} AS (SELECT {k} AS round, max(abs(a.risk - b.risk)) AS change, sum(a.risk) AS total "
+            f"FROM d{k} a JOIN d{k - 1} b ON a.node_id = b.node_id)"
+        )
+    union = " UNION ALL ".join(f"SELECT * FROM c{k}" for k in range(1, rounds + 1))
+    return (
+        f"WITH {CATALOG},\n" + ",\n".join(ctes) + f",\nall_rounds AS ({union}),\n"
+        f"stop AS (SELECT least({rounds}, coalesce(min(round) FILTER (WHERE change < 1e-6), {rounds})) AS round FROM all_rounds)\n"
+        "SELECT a.round::BIGINT AS rounds, a.change < 1e-6 AS converged, round(a.change, 6) AS change, "
+        "round(a.total, 3) AS total_risk FROM all_rounds a JOIN stop ON a.round = stop.round"
+    )
+
+
 SYNTHETIC_SIZE = "size AS (SELECT count(*) AS n FROM part), ids AS (SELECT p_partkey AS i FROM part)"
 
 ORACLE: dict[str, str] = {
@@ -234,8 +260,7 @@ ORACLE: dict[str, str] = {
     "FROM seeds s JOIN edges e ON e.src = s.node_id",
     "node_parents": f"WITH {EDGES}, ids AS ({FIRST_CUSTOMERS}) SELECT i.node_id, e.src AS parent, round(weight, 6) AS weight "
     "FROM ids i JOIN edges e ON e.dst = i.node_id",
-    "parent_lists": f"WITH {EDGES} SELECT dst AS node_id, string_agg(src, '>' ORDER BY src) AS parents, count(*) AS n "
-    "FROM edges GROUP BY dst",
+    "parent_lists": f"WITH {EDGES}, {LISTS} SELECT node_id, part, parents, n FROM lists",
     "known_ids": "SELECT 'supplier_' || c_custkey AS node_id, c_custkey IN (SELECT s_suppkey FROM supplier) AS known FROM customer",
     "edge_weights": f"""
         WITH {EDGES}, pairs AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges)
@@ -276,8 +301,9 @@ ORACLE: dict[str, str] = {
     "merkle_hashes": f"WITH {CATALOG}, {hash_chain('h')} SELECT node_id, hash FROM h",
     "hash_listing": f"""
         WITH {CATALOG}, {hash_chain("h")}
-        SELECT h.node_id, h.hash, coalesce(p.ids, '') AS parents FROM h
-        LEFT JOIN (SELECT dst, string_agg(src, '>' ORDER BY src) AS ids FROM edges GROUP BY dst) p ON p.dst = h.node_id""",
+        , {LISTS}
+        SELECT h.node_id, coalesce(l.part, 0) AS part, h.hash, coalesce(l.parents, '') AS parents
+        FROM h LEFT JOIN lists l ON l.node_id = h.node_id""",
     "tamper_check": f"""
         WITH {CATALOG}, {hash_chain("h")}, {hash_chain("t", POISON)}
         SELECT h.node_id, h.hash AS expected, t.hash AS current, t.hash <> h.hash AS tampered FROM h JOIN t ON t.node_id = h.node_id""",
@@ -291,9 +317,12 @@ ORACLE: dict[str, str] = {
     "proof_rows": f"""
         WITH {CATALOG}, {hash_chain("h")}, {walk("w", FIRST_CUSTOMERS, "dst", "src", DEEPEST)},
         members AS (SELECT query_id, node_id FROM w UNION ALL SELECT node_id, node_id FROM ({FIRST_CUSTOMERS}))
-        SELECT m.query_id AS proof_id, m.node_id, n.node_type, h.hash, coalesce(p.ids, '') AS parents
+        , {LISTS}
+        SELECT m.query_id AS proof_id, m.node_id, coalesce(l.part, 0) AS part, n.node_type,
+               'nodeId=' || n.node_id || ';nodeType=' || n.node_type || ';creator=unknown;name=' || n.name || ';' AS own,
+               h.hash, coalesce(l.parents, '') AS parents
         FROM members m JOIN nodes n ON n.node_id = m.node_id JOIN h ON h.node_id = m.node_id
-        LEFT JOIN (SELECT dst, string_agg(src, '>' ORDER BY src) AS ids FROM edges GROUP BY dst) p ON p.dst = m.node_id""",
+        LEFT JOIN lists l ON l.node_id = m.node_id""",
     "proof_verdict": f"""
         WITH {CATALOG}, {hash_chain("h")}, {hash_chain("t", POISON)}, ids AS ({FIRST_CUSTOMERS})
         SELECT i.node_id AS target, t.hash = h.hash AS valid,
@@ -380,9 +409,36 @@ ORACLE: dict[str, str] = {
           FROM ids CROSS JOIN (SELECT unnest(range(2, 11)) AS step) s WHERE i + s.step < (SELECT n FROM size)),
         picked AS (
           SELECT * FROM (SELECT *, row_number() OVER (ORDER BY draw, i, step) AS pos FROM extra)
-          WHERE pos <= least(5000, 2 * (SELECT n FROM size)))
+          WHERE pos <= 2 * (SELECT n FROM size))
         SELECT 'node_' || i AS src, 'node_' || (i + 1) AS dst, round(0.5::DOUBLE + (i * 37 % 1000) / 2000.0::DOUBLE, 6) AS weight
         FROM ids WHERE i < (SELECT n FROM size) - 1
         UNION ALL
         SELECT 'node_' || i, 'node_' || (i + step), round(0.3::DOUBLE + ((i * 53 + step * 29) % 600) / 1000.0::DOUBLE, 6) FROM picked""",
+    "synthetic_layers": f"""
+        WITH {SYNTHETIC_SIZE} SELECT 'node_' || i AS node_id, i::BIGINT AS layer FROM ids""",
+    "root_nodes": f"WITH {CATALOG} SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT dst FROM edges)",
+    "leaf_nodes": f"WITH {CATALOG} SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT src FROM edges)",
+    "seed_nodes": f"WITH {SEEDS} SELECT node_id, p AS probability FROM seeds",
+    "invalid_nodes": """
+        SELECT 'customer_' || c_custkey AS subject, 'artifact type not allowed: ' || lower(c_mktsegment) AS problem
+        FROM customer WHERE lower(c_mktsegment) NOT IN ('dataset', 'tool', 'model', 'product')""",
+    "risk_ranking": f"WITH {CATALOG}, {risk_chain()} SELECT node_id, risk, {level('risk')} AS risk_level FROM even",
+    "compromise_answer": f"""
+        WITH {CATALOG}, {risk_chain()}
+        SELECT count(*) AS total_nodes, round(avg(risk), 4) AS mean_risk, round(greatest(0.0, max(risk)) + 1e-9, 6) AS max_risk,
+               round(least(1.0, min(risk)) + 1e-9, 6) AS min_risk, {LEVEL_CELLS},
+               (SELECT string_agg(node_id, '>' ORDER BY risk DESC, node_id)
+                FROM (SELECT * FROM even ORDER BY risk DESC, node_id LIMIT 5)) AS highest
+        FROM scores""",
+    "extended_catalog": f"""
+        WITH {CATALOG},
+        batch AS (SELECT 'part_' || p_partkey AS src, 'order_' || o_orderkey AS dst, 0.25::DOUBLE AS weight
+                  FROM orders JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part))
+        SELECT src, dst, round(weight, 6) AS weight FROM edges WHERE (src, dst) NOT IN (SELECT (src, dst) FROM batch)
+        UNION ALL SELECT DISTINCT src, dst, round(weight, 6) FROM batch""",
+    "path_check": f"""
+        WITH {CATALOG}, trail AS (SELECT 'supplier_' || l_suppkey AS a, 'part_' || l_partkey AS b, 'order_' || (l_orderkey + 1) AS c FROM lineitem)
+        SELECT DISTINCT a AS src, c AS dst, 2::BIGINT AS step, b AS at, c AS next FROM trail
+        WHERE (b, c) NOT IN (SELECT (src, dst) FROM edges)""",
+    "diffusion_stop": diffusion_sql(),
 }
