@@ -2,8 +2,9 @@
 
 A document is the set of its word shingles. Documents with equal sets form a class, and only one
 of each class goes on. Signatures are cut into bands; classes that agree on a band meet in a
-bucket. No bucket emits all its pairs: its members are first compared with one centre, and only
-pairs that are not yet in one group are compared further. Every link is confirmed on full sets.
+bucket. No bucket emits all its pairs: its members are first compared with one of them, and what is
+not yet in one group is compared further only where the shingles it shares with any other allow a link.
+Every link is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heirline.llm import words as W
@@ -26,9 +27,13 @@ PERCENT = 80
 BANDS = 32
 BAND_ROWS = 5
 # Rounds in which the members of a bucket meet one of them, before the rest meets in pairs.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
+# Documents of a cluster that have a rare shingle, at most.
+RARE = 64
 # Comparisons with one document in one task.
 SHARE = 512
+# Rests of hashed ids that are told apart before texts are shuffled.
+RESTS = 1 << 19
 
 
 def superminhash(first: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
@@ -130,9 +135,21 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     return both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
 
 
+def _likely(texts: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of ``texts`` whose id leaves the same rest as one of ``ids``: most others need not be shuffled.
+
+    There are at most ``RESTS`` rests, so they may be broadcast.
+    """
+    rest = F.pmod(F.xxhash64(key), F.lit(RESTS)).cast("int").alias("_rest")
+    rests = F.broadcast(ids.select(rest).distinct())
+    own = F.pmod(F.xxhash64("doc_id"), F.lit(RESTS)).cast("int")
+    return texts.join(rests, own == rests["_rest"], "left_semi")
+
+
 def attached(pairs: DataFrame, texts: DataFrame, key: str, other: str, name: str) -> DataFrame:
     """Add the text of ``key``. A document in very many pairs is repeated for shares of them."""
     shares = pairs.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("_shares"))
+    texts = _likely(texts, pairs, key)
     spread = texts.join(shares, texts["doc_id"] == shares[key]).select(
         F.col("doc_id").alias(key), F.col("text").alias(name), F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("_share"), "_shares"
     )
@@ -208,29 +225,107 @@ def near_duplicates(
     return placed.unionByName(alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def _mixed(scratch: Scratch, placed: DataFrame, centre: Column) -> Stored:
+    """The rows (bucket, id, n_shingles, component, ...) of buckets with several groups, with a member ``c`` of the bucket."""
+    found = placed.groupBy("bucket").agg(
+        F.min_by(F.struct("id", "n_shingles", "component"), centre).alias("c"),
+        F.min("component").alias("_low"),
+        F.max("component").alias("_high"),
+    )
+    found = found.filter(F.col("_low") < F.col("_high")).select("bucket", "c")
+    return scratch.save(placed.join(found, "bucket"), scratch.place("mixed"))
+
+
 def _meet_in_buckets(scratch: Scratch, grouping: _Grouping, met: Stored, percent: int) -> None:
-    """Compare what shares a bucket and is not yet in one group: stars first, then all that is left."""
+    """Compare what shares a bucket and is not yet in one group: stars first, then all that can still be linked."""
     rows = met.df
-    for turn in range(STAR_ROUNDS + 1):
-        placed = grouping.of(rows.select("bucket", "id", "n_shingles"), "id")
+    for turn in range(STAR_ROUNDS):
         # One member of each bucket in turn: the smallest, then others by a hash.
-        rank = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-        centre = F.min_by(F.struct("id", "n_shingles", "component"), rank).alias("c")
-        mixed = placed.groupBy("bucket").agg(centre, F.min("component").alias("_low"), F.max("component").alias("_high"))
-        mixed = mixed.filter(F.col("_low") < F.col("_high")).select("bucket", "c")
-        left = scratch.save(placed.join(mixed, "bucket"), scratch.place("mixed"))
+        centre = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
+        left = _mixed(scratch, grouping.of(rows.select("bucket", "id", "n_shingles"), "id"), centre)
         if not left.rows:
             return
         rows = left.df
-        if turn < STAR_ROUNDS:
-            met_by = rows.select(
-                "id", "n_shingles", "component",
-                F.col("c.id").alias("other"), F.col("c.n_shingles").alias("_n"), F.col("c.component").alias("_component"),
-            )
-        else:
-            again = rows.select("bucket", F.col("id").alias("other"), F.col("n_shingles").alias("_n"), F.col("component").alias("_component"))
-            met_by = rows.drop("c").join(again, "bucket").filter(F.col("id") < F.col("other"))
+        met_by = rows.select(
+            "id", "n_shingles", "component",
+            F.col("c.id").alias("other"), F.col("c.n_shingles").alias("_n"), F.col("c.component").alias("_component"),
+        )
         fits = F.least("n_shingles", "_n") * 100 >= F.greatest("n_shingles", "_n") * percent
         pairs = met_by.filter((F.col("component") != F.col("_component")) & fits)
         pairs = pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
         grouping.confirm(scratch.save(pairs, scratch.place("pairs")))
+    left = _mixed(scratch, grouping.of(rows.select("bucket", "id", "n_shingles"), "id"), F.col("id"))
+    if not left.rows:
+        return
+    members = scratch.save(left.df.select("id", "n_shingles", "component").distinct(), scratch.place("open")).df
+    rare = _rare_shingles(scratch, grouping, left.df)
+    own = rare.groupBy("id").agg(F.count(F.lit(1)).alias("_rare"))
+    common = F.col("n_shingles") - F.coalesce("_rare", F.lit(0))
+    members = members.join(own, "id", "left").withColumn("common", common).drop("_rare")
+    members = scratch.save(members, scratch.place("bounded")).df
+    pairs = _sharing_rare(rare, members, percent).unionByName(_sharing_common(scratch, left.df, members, percent))
+    grouping.confirm(scratch.save(pairs.distinct(), scratch.place("pairs")))
+
+
+def _rare_shingles(scratch: Scratch, grouping: _Grouping, rows: DataFrame) -> DataFrame:
+    """(id, cluster, shingle) of shingles that few documents of a cluster have; a cluster is what buckets connect."""
+    n = grouping.n
+    met = rows.select(F.col("id").alias("a"), F.col("c.id").alias("b"))
+    clusters = components(scratch, met.filter("a <> b").distinct())
+    ids = rows.select("id").distinct().join(clusters, "id", "left")
+    ids = ids.select("id", F.coalesce("component", "id").alias("cluster"))
+    docs = _likely(grouping.docs, ids, "id")
+    texts = docs.join(ids, docs["doc_id"] == ids["id"]).select("id", "cluster", "text")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, end in W.slices(batch.column(2)):
+                first, values = shingle_sets(batch.column(2).slice(at, end - at), n)
+                owner = pa.array(at + np.repeat(np.arange(end - at), np.diff(first)))
+                made = [batch.column(c).take(owner) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*made, pa.array(values.view(np.int64))], ["id", "cluster", "shingle"])
+
+    spread_out = texts.dropDuplicates(["id"]).mapInArrow(spread, "id long, cluster long, shingle long")
+    shingles = scratch.save(spread_out, scratch.place("shingles")).df
+    few = shingles.groupBy("cluster", "shingle").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= RARE).drop("_n")
+    return scratch.save(shingles.join(few, ["cluster", "shingle"]), scratch.place("rare")).df
+
+
+def _possible(shared: Column, percent: int) -> Column:
+    """Whether two sets that share so many shingles at most can be linked."""
+    return shared * 100 >= (F.col("n_shingles") + F.col("_n") - shared) * percent
+
+
+def _beside(members: DataFrame) -> DataFrame:
+    return members.select(
+        F.col("id").alias("other"), F.col("n_shingles").alias("_n"), F.col("common").alias("_common"),
+        F.col("component").alias("_component"),
+    )
+
+
+def _sharing_rare(rare: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of documents that share rare shingles, as far as their number and the common ones allow a link.
+
+    A rare shingle has at most ``RARE`` documents, so it makes a bounded number of pairs.
+    """
+    one = rare.join(members.select("id", "component"), "id")
+    other = one.select("cluster", "shingle", F.col("id").alias("other"), F.col("component").alias("_component"))
+    apart = (F.col("id") < F.col("other")) & (F.col("component") != F.col("_component"))
+    met = one.join(other, ["cluster", "shingle"]).filter(apart).groupBy("id", "other").agg(F.count(F.lit(1)).alias("_shared"))
+    both = met.join(members, "id").join(_beside(members), "other")
+    both = both.filter(_possible(F.least("common", "_common") + F.col("_shared"), percent))
+    return both.select(F.col("other").alias("a"), F.col("id").alias("b"))
+
+
+def _sharing_common(scratch: Scratch, rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of documents in one bucket that can be linked without sharing any rare shingle."""
+    rows = rows.select("bucket", "id").join(members, "id")
+    smallest = rows.groupBy("bucket").agg(F.min("n_shingles").alias("_least"))
+    # What cannot be linked even to the smallest document that is large enough for a link goes first.
+    partner = F.ceil(F.greatest(F.col("_least") * 100, F.col("n_shingles") * percent) / 100).alias("_n")
+    kept = rows.join(smallest, "bucket").withColumn("_n", partner).filter(_possible(F.col("common"), percent)).drop("_least", "_n")
+    left = _mixed(scratch, kept, F.col("id")).df
+    beside = left.select("bucket", F.col("id").alias("other"), F.col("n_shingles").alias("_n"), F.col("common").alias("_common"), F.col("component").alias("_component"))
+    apart = (F.col("id") < F.col("other")) & (F.col("component") != F.col("_component"))
+    met = left.join(beside, "bucket").filter(apart & _possible(F.least("common", "_common"), percent))
+    return met.select(F.col("other").alias("a"), F.col("id").alias("b"))

@@ -66,11 +66,12 @@ def test_signature_estimates_similarity():
     assert sorted(np.floor(few[0]).tolist()) == list(range(16)) and np.isinf(few[1]).all()
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("local", [0, 1000])
+def test_components_of_chains_and_stars(spark, local):
     chain = [(i, i + 1) for i in range(100, 160)]
     star = [(7, i) for i in range(200, 260)]
     links = spark.createDataFrame([*chain, *star, (500, 500)], "a long, b long").repartition(5)
-    found = {r.id: r.component for r in components(Scratch(spark), links).collect()}
+    found = {r.id: r.component for r in components(Scratch(spark), links, local).collect()}
     assert found == {i: 100 for i in range(101, 161)} | {i: 7 for i in range(200, 260)}
 
 
