@@ -110,9 +110,7 @@ def described(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have the similarity, by their whole texts."""
-    texts = docs.select("doc_id", "text")
-    one = attached(pairs, texts, "a", "b", "text_a")
-    both = attached(one, texts, "b", "a", "text_b")
+    both = with_texts(pairs, docs.select("doc_id", "text"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,7 +130,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([pc.filter(batch.column(c), mask) for c in ("a", "b")], ["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
+    return both.mapInArrow(compare, "a long, b long")
 
 
 def _likely(texts: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -146,15 +144,18 @@ def _likely(texts: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return texts.join(rests, own == rests["_rest"], "left_semi")
 
 
-def attached(pairs: DataFrame, texts: DataFrame, key: str, other: str, name: str) -> DataFrame:
-    """Add the text of ``key``. A document in very many pairs is repeated for shares of them."""
-    shares = pairs.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("_shares"))
-    texts = _likely(texts, pairs, key)
-    spread = texts.join(shares, texts["doc_id"] == shares[key]).select(
-        F.col("doc_id").alias(key), F.col("text").alias(name), F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("_share"), "_shares"
-    )
-    counted = pairs.join(shares, key).withColumn("_share", F.pmod(F.xxhash64(other), F.col("_shares").cast("long")).cast("int")).drop("_shares")
-    return counted.join(spread.drop("_shares"), [key, "_share"]).drop("_share")
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with text_a and text_b. A ``b`` in very many pairs is repeated for shares of them.
+
+    The shares are settled before texts are added, so a text is shuffled no more than twice.
+    """
+    shares = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("_shares"))
+    share = F.pmod(F.xxhash64("a"), F.col("_shares").cast("long")).cast("int")
+    dealt = pairs.join(shares, "b").select("a", "b", share.alias("_share"))
+    left = _likely(texts, pairs, "a").select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    right = _likely(texts, pairs, "b").join(shares, F.col("doc_id") == F.col("b"))
+    right = right.select("b", F.col("text").alias("text_b"), F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("_share"))
+    return dealt.join(left, "a").join(right, ["b", "_share"]).select("a", "b", "text_a", "text_b")
 
 
 class _Grouping:
