@@ -552,6 +552,79 @@ QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {
 }
 
 
+def every_parent(w: Workspace) -> DataFrame:
+    """The parents of all customers."""
+    return rounded(lookup.parents(w.graph, w.all_of("customer", "customer", "c_custkey")), "weight")
+
+
+def every_cycle_node(w: Workspace) -> DataFrame:
+    """All returned lots lead from the order back to the part."""
+    back = (
+        w.table("lineitem")
+        .filter(F.col("l_returnflag") == "R")
+        .select(node_key("order", "l_orderkey").alias("src"), node_key("part", "l_partkey").alias("dst"))
+        .distinct()
+        .withColumn("weight", F.lit(0.9))
+    )
+    edges = w.graph.edges.select("src", "dst", "weight").unionByName(back)
+    return topo.cycle_nodes(LineageGraph(w.graph.nodes, edges, unique=True))
+
+
+def _every_proof(w: Workspace) -> merkle.Proof:
+    return w.once("every_proof", lambda: merkle.prove(w.graph, w.all_of("customer", "customer", "c_custkey")))
+
+
+def every_proof_target(w: Workspace) -> DataFrame:
+    return report.proof_report(_every_proof(w))[0]
+
+
+def every_proof_row(w: Workspace) -> DataFrame:
+    return listing(report.proof_report(_every_proof(w))[1].withColumn("part", F.col("part").cast("long")), "parents")
+
+
+def every_proof_verdict(w: Workspace) -> DataFrame:
+    return report.proof_verdict(_every_proof(w), w.poisoned)
+
+
+def every_impact(w: Workspace) -> DataFrame:
+    """Everything downstream of all suppliers."""
+    ids = w.all_of("supplier", "supplier", "s_suppkey")
+    return impact.impacted(w.graph, ids, None, w.even_scores).select(*IMPACT)
+
+
+def every_ancestor(w: Workspace) -> DataFrame:
+    """Everything upstream of all customers."""
+    ids = w.all_of("customer", "customer", "c_custkey")
+    return impact.lineage(w.graph, ids, None, w.even_scores).select(*IMPACT)
+
+
+def every_catalog_path(w: Workspace) -> DataFrame:
+    """From the nation of every customer to the customer."""
+    pairs = w.table("customer").select(node_key("nation", "c_nationkey").alias("src"), node_key("customer", "c_custkey").alias("dst"))
+    found = paths.shortest_paths(w.graph, pairs)
+    text = F.coalesce(F.concat_ws(">", "path"), F.lit(""))
+    return found.withColumn("path", text).withColumn("hops", F.col("hops").cast("long"))
+
+
+def every_interval_member(w: Workspace) -> DataFrame:
+    """What the interval of every artifact holds."""
+    return labels.enclosed(w.labels, w.graph.nodes)
+
+
+# Over all ids. Too much for SQL, so without any; tests compare them with brute force on a small catalog.
+WHOLE: dict[str, Callable[[Workspace], DataFrame]] = {
+    "every_parent": every_parent,
+    "every_cycle_node": every_cycle_node,
+    "every_proof_target": every_proof_target,
+    "every_proof_row": every_proof_row,
+    "every_proof_verdict": every_proof_verdict,
+    "every_impact": every_impact,
+    "every_ancestor": every_ancestor,
+    "every_catalog_path": every_catalog_path,
+    "every_interval_member": every_interval_member,
+}
+
+
 def run(name: str, spark: SparkSession, folder: str) -> DataFrame:
     """The named query over the tables in ``folder``."""
-    return QUERIES[name](Workspace.of(spark, folder))
+    return (QUERIES | WHOLE)[name](Workspace.of(spark, folder))
