@@ -611,7 +611,33 @@ def every_interval_member(w: Workspace) -> DataFrame:
     return labels.enclosed(w.labels, w.graph.nodes)
 
 
-# Over all ids. Too much for SQL, so without any; tests compare them with brute force on a small catalog.
+def impact_query_rows(w: Workspace) -> DataFrame:
+    """The answer rows that belong to the heads of ``impact_query``."""
+    rows = report.impact_query(w.graph, w.seeds, 2, w.even_scores)[1]
+    return rows.withColumn("hops", F.col("hops").cast("long"))
+
+
+def diffusion_scores(w: Workspace) -> DataFrame:
+    """The score of every artifact when the damped rounds from the bare seeds are done."""
+    start = w.seeds.select("node_id", F.col("probability").alias("risk"))
+    return risk.diffusion(w.graph, start).scores.withColumn("risk", shown(F.col("risk")))
+
+
+def impact_report_rows(w: Workspace) -> DataFrame:
+    """The listed rows of every report in order, both sides, and the error of an id that is not in the catalog."""
+    asked = w.seeds.select("node_id").unionByName(w.spark.createDataFrame([("nobody",)], "node_id string"))
+    rows = impact.impact_reports(w.graph, asked, w.even_scores)
+    sides = [F.struct(F.lit(side).alias("side"), F.col(column).alias("rows")) for side, column in (("down", "impacted_nodes"), ("up", "ancestor_nodes"))]
+    cut = rows.select("query_id", "error", F.explode(F.array(*sides)).alias("s"))
+    cut = cut.filter(F.col("error").isNull() | (F.col("s.side") == "down"))
+    listed = cut.select("query_id", "error", "s.side", F.posexplode_outer("s.rows").alias("place", "r"))
+    listed = listed.filter(F.col("place").isNotNull() | F.col("error").isNotNull())
+    side = F.when(F.col("error").isNull(), F.col("side")).alias("side")
+    cells = [F.col(f"r.{c}").alias(c) for c in ("node_id", "node_type", "risk")]
+    return listed.select("query_id", "error", side, F.col("place").cast("long").alias("place"), *cells, F.col("r.hops").cast("long").alias("hops"))
+
+
+# Over all ids, or whole answers. Too much for SQL, so without any; tests compare them with brute force on a small catalog.
 WHOLE: dict[str, Callable[[Workspace], DataFrame]] = {
     "every_parent": every_parent,
     "every_cycle_node": every_cycle_node,
@@ -622,6 +648,9 @@ WHOLE: dict[str, Callable[[Workspace], DataFrame]] = {
     "every_ancestor": every_ancestor,
     "every_catalog_path": every_catalog_path,
     "every_interval_member": every_interval_member,
+    "impact_query_rows": impact_query_rows,
+    "diffusion_scores": diffusion_scores,
+    "impact_report_rows": impact_report_rows,
 }
 
 

@@ -8,6 +8,7 @@ from collections import defaultdict
 import pytest
 
 import __spark_entry__ as entry
+from heirline.operators import risk
 
 SUPPLIERS, PARTS, ORDERS, CUSTOMERS = range(1, 9), range(1, 13), range(1, 31), range(1, 13)
 
@@ -34,10 +35,12 @@ class Catalog:
             spark.createDataFrame(rows, columns).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
         edges = [(f"region_{n % 2}", f"nation_{n}", 0.9) for n in range(4)]
         edges += [(f"nation_{n}", f"supplier_{s}", 0.5) for s, n, _ in suppliers]
-        edges += [(f"supplier_{s}", f"part_{p}", 0.0) for _, p, s, *_ in lines] + [(f"part_{p}", f"order_{o}", 0.0) for o, p, *_ in lines]
+        edges += [(f"supplier_{s}", f"part_{p}", d) for _, p, s, _, d, _ in lines] + [(f"part_{p}", f"order_{o}", q / 50) for o, p, _, q, *_ in lines]
         edges += [(f"order_{o}", f"customer_{c}", 0.9) for o, c in orders]
         self.children, self.parents = defaultdict(set), defaultdict(set)
-        for a, b, _ in edges:
+        self.weights = {}
+        for a, b, weight in edges:
+            self.weights[a, b] = max(weight, self.weights.get((a, b), 0.0))
             self.children[a].add(b)
             self.parents[b].add(a)
         self.returned = {(f"order_{o}", f"part_{p}") for o, p, *_, flag in lines if flag == "R"}
@@ -108,3 +111,36 @@ def test_all_intervals(catalog, ask):
     got = [(r.query_id, r.node_id) for r in ask("every_interval_member")]
     assert len(got) == len(set(got)) and set(got) == want
     assert any(a.startswith("supplier") for a, _ in want)
+
+
+def test_whole_answers(catalog, ask):
+    near = {(s, d): 1 for s in catalog.seeds for d in catalog.children[s]}
+    two = near | {(s, e): 2 for s, d in near for e in catalog.children[d] if (s, e) not in near}
+    assert {(r.query_id, r.node_id): r.hops for r in ask("impact_query_rows") if r.query_id != r.node_id} == two
+    heads = {r.source: r.total_impacted for r in ask("impact_query")}
+    rows = [r.query_id for r in ask("impact_query_rows")]
+    assert {s: rows.count(s) for s in heads} == heads
+
+    nodes = {n for edge in catalog.weights for n in edge} | set(catalog.customers) | {f"part_{p}" for p in PARTS} | set(catalog.suppliers)
+    nodes |= {f"order_{o}" for o in ORDERS}
+    score = {n: float(n in catalog.seeds) for n in nodes}
+    for _ in range(risk.DIFFUSION_ROUNDS):
+        safe = defaultdict(lambda: 1.0)
+        for (a, b), weight in catalog.weights.items():
+            safe[b] *= 1 - weight * score[a]
+        new = {n: max(s, risk.DIFFUSION_DAMPING * (1 - safe[n]) + (1 - risk.DIFFUSION_DAMPING) * s) if n in safe else s for n, s in score.items()}
+        change, score = max(abs(new[n] - score[n]) for n in nodes), new
+        if change < risk.DIFFUSION_TOLERANCE:
+            break
+    assert {r.node_id: r.risk for r in ask("diffusion_scores")} == pytest.approx(score, abs=2e-6)
+
+
+def test_reports_show_their_rows(catalog, ask):
+    rows = ask("impact_report_rows")
+    assert [(r.query_id, r.error, r.side, r.node_id) for r in rows if r.error] == [("nobody", "Node not found: nobody", None, None)]
+    scores = {r.node_id: r.risk for r in ask("risk_scores")}
+    for report in ask("impact_report"):
+        for side, ids in (("down", report.impacted_nodes), ("up", report.ancestor_nodes)):
+            found = sorted((r.place, r.node_id, r.risk, r.node_type) for r in rows if r.query_id == report.query_id and r.side == side)
+            assert ">".join(n for _, n, *_ in found) == ids
+            assert all(r == scores[n] and t for _, n, r, t in found)
