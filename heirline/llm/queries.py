@@ -9,7 +9,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heirline.llm import chat, decontaminate, licenses, neardup, neighbours, packing, quality, shards, substrings, tokens
+from heirline.llm import (
+    chat,
+    decontaminate,
+    exacttopk,
+    hardnegatives,
+    licenses,
+    neardup,
+    neighbours,
+    packing,
+    quality,
+    shards,
+    substrings,
+    tokens,
+    whitening,
+)
 
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
@@ -115,6 +129,23 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector on the four leading components, whitened."""
+    return whitening.whiten(spark, table(spark, folder, "embeddings"))
+
+
+def op12_exact_top(spark: SparkSession, folder: str) -> DataFrame:
+    """The exact 20 best whole-number vectors of every vector whose id is divisible by 20."""
+    return exacttopk.exact_top(spark, table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every vector whose id is divisible by 100; a seventh of the labels is moved on."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, folder, "embeddings").withColumn("label", moved)
+    return hardnegatives.hard_negatives(spark, vectors, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_repeated_passages": op2_repeated_passages,
@@ -126,8 +157,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_vectors": op8_nearest_vectors,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_token_counts": op10_token_counts,
+    "op11_whitening": op11_whitening,
+    "op12_exact_top": op12_exact_top,
+    "op13_hard_negatives": op13_hard_negatives,
 }
+# Vectors in whole numbers. A double holds their inner products exactly.
+WHOLE_VECTORS = """
+    SELECT *, list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+"""
 ORACLE: dict[str, str] = {
+    "op12_exact_top": f"""
+        WITH whole AS ({WHOLE_VECTORS.format(scale=exacttopk.SCALE)}), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+            FROM whole q, whole c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+        ), ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+    """,
+    "op13_hard_negatives": f"""
+        WITH whole AS ({WHOLE_VECTORS.format(scale=hardnegatives.SCALE)}), named AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS l, v FROM whole WHERE label IS NOT NULL
+        ), scored AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id, a.l = c.l AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+            FROM named a, named c WHERE a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY anchor_id, same ORDER BY score DESC, vec_id) AS place FROM scored
+        ), paired AS (
+            SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+            FROM placed p JOIN placed n ON p.anchor_id = n.anchor_id AND p.same AND NOT n.same AND p.place <= 5
+                AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+        ), ranked AS (
+            SELECT anchor_id, positive_id, CAST(row_number() OVER (
+                PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id) AS INTEGER) AS rank,
+                negative_id, positive_score, negative_score FROM paired
+        )
+        SELECT * FROM ranked WHERE rank <= 10
+    """,
     "op6_chats": """
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
