@@ -101,11 +101,18 @@ class Scratch:
         self._tables.append(table)
         return self.spark.table(table)
 
+    def discard(self, *tables: Stored) -> None:
+        """Delete tables that nothing reads any more."""
+        for table in tables:
+            self._delete(table.path)
+
     def release(self) -> None:
         """Drop the bucketed tables and delete the folder."""
         for table in self._tables:
             self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         self._tables.clear()
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(self.path)
+        self._delete(self.path)
+
+    def _delete(self, path: str) -> None:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
