@@ -206,6 +206,20 @@ class LineageGraph:
 
         return edge_slices(self)
 
+    @cached_property
+    def pushed_forward(self):
+        """Edges by the layer of their source, for pushing values down."""
+        from heirline.plans.push import pushed_edges
+
+        return pushed_edges(self, "forward")
+
+    @cached_property
+    def pushed_backward(self):
+        """Edges by the layer of their target, for pushing values up."""
+        from heirline.plans.push import pushed_edges
+
+        return pushed_edges(self, "backward")
+
     @cached_property
     def hashes(self) -> DataFrame:
         """(node_id, hash) of the chained content hashes."""

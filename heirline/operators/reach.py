@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heirline.plans.bitmaps import closure
 from heirline.plans.frontier import walk
+from heirline.plans.push import can_push
 
 
 def starts(ids: DataFrame) -> DataFrame:
@@ -18,14 +20,25 @@ def reached(graph, ids: DataFrame, direction: str, max_hops: int | None = None)
     return walk(graph, starts(ids), direction, max_hops).filter("hops > 0")
 
 
+# From so many ids on, closures are swept as bitmaps instead of walked.
+MANY_IDS = 64
+
+
+def closed(graph, ids: DataFrame, direction: str) -> DataFrame:
+    """(query_id, node_id) of everything reached from every id, the id itself left out, without hops."""
+    if can_push(graph) and len(ids.select("node_id").distinct().take(MANY_IDS)) == MANY_IDS:
+        return closure(graph, ids, direction).pairs()
+    return reached(graph, ids, direction).drop("hops")
+
+
 def descendants(graph, ids: DataFrame) -> DataFrame:
     """(query_id, node_id) of everything downstream."""
-    return reached(graph, ids, "forward").drop("hops")
+    return closed(graph, ids, "forward")
 
 
 def ancestors(graph, ids: DataFrame) -> DataFrame:
     """(query_id, node_id) of everything upstream."""
-    return reached(graph, ids, "backward").drop("hops")
+    return closed(graph, ids, "backward")
 
 
 def hop_counts(graph, ids: DataFrame, max_hops: int) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from heirline.functions.scalar import content_of, content_text, risk_level
 from heirline.graph import LineageGraph
-from heirline.operators import impact, labels, lookup, merkle, paths, reach, report, risk, topo
+from heirline.operators import impact, labels, lookup, merkle, paths, reach, reachindex, report, risk, topo
 from heirline.sources import ingest
 from heirline.sources.catalog import catalog_edges, catalog_nodes, catalog_seeds, node_key, part_blocks, table
 from heirline.sources.synthetic import synthetic_dag
@@ -419,6 +419,15 @@ def can_reach_pairs(w: Workspace) -> DataFrame:
     return reach.can_reach(w.graph, w.home_pairs())
 
 
+def _decided(w: Workspace) -> DataFrame:
+    return reachindex.decide(w.graph, w.once("index", lambda: reachindex.reach_index(w.graph, w.labels)), w.home_pairs())
+
+
+def indexed_reach(w: Workspace) -> DataFrame:
+    """The pairs of ``can_reach_pairs``, answered by the index."""
+    return _decided(w).select("src", "dst", "reachable")
+
+
 def reach_report(w: Workspace) -> DataFrame:
     return report.reach_query(w.graph, w.labels, w.home_pairs())
 
@@ -531,6 +540,7 @@ QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {
     "impact_query": impact_query,
     "khop_sweep": khop_sweep,
     "can_reach_pairs": can_reach_pairs,
+    "indexed_reach": indexed_reach,
     "reach_report": reach_report,
     "shortest_paths": shortest_paths,
     "catalog_paths": catalog_paths,
@@ -611,6 +621,11 @@ def every_interval_member(w: Workspace) -> DataFrame:
     return labels.enclosed(w.labels, w.graph.nodes)
 
 
+def reach_decisions(w: Workspace) -> DataFrame:
+    """How each pair of ``indexed_reach`` was decided."""
+    return _decided(w)
+
+
 def impact_query_rows(w: Workspace) -> DataFrame:
     """The answer rows that belong to the heads of ``impact_query``."""
     rows = report.impact_query(w.graph, w.seeds, 2, w.even_scores)[1]
@@ -637,7 +652,7 @@ def impact_report_rows(w: Workspace) -> DataFrame:
     return listed.select("query_id", "error", side, F.col("place").cast("long").alias("place"), *cells, F.col("r.hops").cast("long").alias("hops"))
 
 
-# Over all ids, or whole answers. Too much for SQL, so without any; tests compare them with brute force on a small catalog.
+# Over all ids, or whole answers.
 WHOLE: dict[str, Callable[[Workspace], DataFrame]] = {
     "every_parent": every_parent,
     "every_cycle_node": every_cycle_node,
@@ -648,6 +663,7 @@ WHOLE: dict[str, Callable[[Workspace], DataFrame]] = {
     "every_ancestor": every_ancestor,
     "every_catalog_path": every_catalog_path,
     "every_interval_member": every_interval_member,
+    "reach_decisions": reach_decisions,
     "impact_query_rows": impact_query_rows,
     "diffusion_scores": diffusion_scores,
     "impact_report_rows": impact_report_rows,

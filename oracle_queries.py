@@ -95,6 +95,7 @@ def walk(name: str, starts: str, near: str, far: str, rounds: int) -> str:
 
 FIRST_CUSTOMERS = "SELECT 'customer_' || min(c_custkey) AS node_id FROM customer GROUP BY c_nationkey"
 ALL_CUSTOMERS = "SELECT 'customer_' || c_custkey AS node_id FROM customer"
+ALL_SUPPLIERS = "SELECT 'supplier_' || s_suppkey AS node_id FROM supplier"
 ALL_NATIONS = "SELECT 'nation_' || n_nationkey AS node_id FROM nation"
 SEED_IDS = "SELECT node_id FROM seeds"
 DEEPEST = len(TYPES) - 1
@@ -167,10 +168,14 @@ edges AS (
 nodes AS (SELECT 'part_' || p_partkey AS node_id FROM part)"""
 
 
-def catalog_path_sql() -> str:
+FIRST_PAIRS = "SELECT 'nation_' || c_nationkey AS src, 'customer_' || min(c_custkey) AS dst FROM customer GROUP BY c_nationkey"
+ALL_PAIRS = "SELECT 'nation_' || c_nationkey AS src, 'customer_' || c_custkey AS dst FROM customer"
+
+
+def catalog_path_sql(pairs: str = FIRST_PAIRS) -> str:
     """Least path text per step count; a pair is answered by its smallest count."""
     ctes = [
-        "pairs AS (SELECT 'nation_' || c_nationkey AS src, 'customer_' || min(c_custkey) AS dst FROM customer GROUP BY c_nationkey)",
+        f"pairs AS ({pairs})",
         *[walk("up", "SELECT DISTINCT dst AS node_id FROM pairs", "dst", "src", DEEPEST).replace("\n", " ")],
         "step_0 AS (SELECT src, dst, src AS node_id, [src] AS path FROM pairs)",
     ]
@@ -241,6 +246,73 @@ def diffusion_sql(rounds: int = 15) -> str:
     )
 
 
+def diffusion_rows_sql(rounds: int = 15) -> str:
+    """The scores in the round that :func:`diffusion_sql` stops at."""
+    whole = diffusion_sql(rounds)
+    union = " UNION ALL ".join(f"SELECT {k} AS round, * FROM d{k}" for k in range(1, rounds + 1))
+    return (
+        whole[: whole.rindex("SELECT a.round::BIGINT")]
+        + f"SELECT d.node_id, round(d.risk + 1e-9, 6) AS risk FROM ({union}) d JOIN stop ON d.round = stop.round"
+    )
+
+
+def report_rows_sql() -> str:
+    """The leading rows of both sides of every report, and the error of an unknown id."""
+    whole = report_sql()
+    kinds = rank("node_type")
+
+    def side(rows: str, name: str, order: str, limit: int) -> str:
+        return (
+            f"SELECT query_id, NULL AS error, '{name}' AS side, pos - 1 AS place, node_id, node_type, risk, NULL::BIGINT AS hops FROM ("
+            f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS pos FROM {rows}) WHERE pos <= {limit}"
+        )
+
+    return (
+        whole[: whole.rindex("SELECT s.node_id AS query_id")]
+        + side("down", "down", f"risk DESC, {kinds}, node_id", 20)
+        + " UNION ALL "
+        + side("up", "up", "risk DESC, node_id", 10)
+        + " UNION ALL SELECT 'nobody', 'Node not found: nobody', NULL, NULL, NULL, NULL, NULL, NULL"
+    )
+
+
+def cycle_sql(where: str = "") -> str:
+    return f"""
+        WITH {CATALOG},
+        back AS (SELECT DISTINCT 'part_' || l_partkey AS p FROM lineitem WHERE l_returnflag = 'R'{where}),
+        o AS (SELECT DISTINCT e.dst AS node_id FROM edges e JOIN back b ON b.p = e.src),
+        c AS (SELECT DISTINCT e.dst AS node_id FROM edges e JOIN o ON o.node_id = e.src)
+        SELECT p AS node_id FROM back UNION ALL SELECT node_id FROM o UNION ALL SELECT node_id FROM c"""
+
+
+def proof_targets_sql(ids: str) -> str:
+    return f"""
+        WITH {CATALOG}, {hash_chain("h")}, {walk("w", ids, "dst", "src", DEEPEST)}, ids AS ({ids}),
+        sizes AS (SELECT query_id, count(*) AS n FROM w GROUP BY query_id)
+        SELECT i.node_id AS target, h.hash AS target_hash, 1 + coalesce(s.n, 0) AS chain_length
+        FROM ids i JOIN h ON h.node_id = i.node_id LEFT JOIN sizes s ON s.query_id = i.node_id"""
+
+
+def proof_rows_sql(ids: str) -> str:
+    return f"""
+        WITH {CATALOG}, {hash_chain("h")}, {walk("w", ids, "dst", "src", DEEPEST)},
+        members AS (SELECT query_id, node_id FROM w UNION ALL SELECT node_id, node_id FROM ({ids}))
+        , {LISTS}
+        SELECT m.query_id AS proof_id, m.node_id, coalesce(l.part, 0) AS part, n.node_type,
+               'nodeId=' || n.node_id || ';nodeType=' || n.node_type || ';creator=unknown;name=' || n.name || ';' AS own,
+               h.hash, coalesce(l.parents, '') AS parents
+        FROM members m JOIN nodes n ON n.node_id = m.node_id JOIN h ON h.node_id = m.node_id
+        LEFT JOIN lists l ON l.node_id = m.node_id"""
+
+
+def proof_verdict_sql(ids: str) -> str:
+    return f"""
+        WITH {CATALOG}, {hash_chain("h")}, {hash_chain("t", POISON)}, ids AS ({ids})
+        SELECT i.node_id AS target, t.hash = h.hash AS valid,
+               CASE WHEN t.hash = h.hash THEN 'Integrity confirmed' ELSE 'TAMPER DETECTED!' END AS message
+        FROM ids i JOIN h ON h.node_id = i.node_id JOIN t ON t.node_id = i.node_id"""
+
+
 SYNTHETIC_SIZE = "size AS (SELECT count(*) AS n FROM part), ids AS (SELECT p_partkey AS i FROM part)"
 
 ORACLE: dict[str, str] = {
@@ -292,12 +364,7 @@ ORACLE: dict[str, str] = {
         WITH RECURSIVE {CATALOG}, {LAYERS}
         SELECT node_id, layer, row_number() OVER (ORDER BY layer, node_id) - 1 AS position FROM layers""",
     "block_layers": f"WITH RECURSIVE {BLOCKS}, {LAYERS} SELECT node_id, layer FROM layers",
-    "cycle_nodes": f"""
-        WITH {CATALOG},
-        back AS (SELECT DISTINCT 'part_' || l_partkey AS p FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 50),
-        o AS (SELECT DISTINCT e.dst AS node_id FROM edges e JOIN back b ON b.p = e.src),
-        c AS (SELECT DISTINCT e.dst AS node_id FROM edges e JOIN o ON o.node_id = e.src)
-        SELECT p AS node_id FROM back UNION ALL SELECT node_id FROM o UNION ALL SELECT node_id FROM c""",
+    "cycle_nodes": cycle_sql(" AND l_quantity = 50"),
     "merkle_hashes": f"WITH {CATALOG}, {hash_chain('h')} SELECT node_id, hash FROM h",
     "hash_listing": f"""
         WITH {CATALOG}, {hash_chain("h")}
@@ -310,24 +377,9 @@ ORACLE: dict[str, str] = {
     "hash_diff": f"""
         WITH {CATALOG}, {hash_chain("h")}, {hash_chain("t", POISON)}
         SELECT h.node_id, CASE WHEN t.hash = h.hash THEN 'unchanged' ELSE 'changed' END AS state FROM h JOIN t ON t.node_id = h.node_id""",
-    "proof_targets": f"""
-        WITH {CATALOG}, {hash_chain("h")}, {walk("w", FIRST_CUSTOMERS, "dst", "src", DEEPEST)}, ids AS ({FIRST_CUSTOMERS})
-        SELECT i.node_id AS target, h.hash AS target_hash, 1 + (SELECT count(*) FROM w WHERE w.query_id = i.node_id) AS chain_length
-        FROM ids i JOIN h ON h.node_id = i.node_id""",
-    "proof_rows": f"""
-        WITH {CATALOG}, {hash_chain("h")}, {walk("w", FIRST_CUSTOMERS, "dst", "src", DEEPEST)},
-        members AS (SELECT query_id, node_id FROM w UNION ALL SELECT node_id, node_id FROM ({FIRST_CUSTOMERS}))
-        , {LISTS}
-        SELECT m.query_id AS proof_id, m.node_id, coalesce(l.part, 0) AS part, n.node_type,
-               'nodeId=' || n.node_id || ';nodeType=' || n.node_type || ';creator=unknown;name=' || n.name || ';' AS own,
-               h.hash, coalesce(l.parents, '') AS parents
-        FROM members m JOIN nodes n ON n.node_id = m.node_id JOIN h ON h.node_id = m.node_id
-        LEFT JOIN lists l ON l.node_id = m.node_id""",
-    "proof_verdict": f"""
-        WITH {CATALOG}, {hash_chain("h")}, {hash_chain("t", POISON)}, ids AS ({FIRST_CUSTOMERS})
-        SELECT i.node_id AS target, t.hash = h.hash AS valid,
-               CASE WHEN t.hash = h.hash THEN 'Integrity confirmed' ELSE 'TAMPER DETECTED!' END AS message
-        FROM ids i JOIN h ON h.node_id = i.node_id JOIN t ON t.node_id = i.node_id""",
+    "proof_targets": proof_targets_sql(FIRST_CUSTOMERS),
+    "proof_rows": proof_rows_sql(FIRST_CUSTOMERS),
+    "proof_verdict": proof_verdict_sql(FIRST_CUSTOMERS),
     "risk_scores": f"WITH {CATALOG}, {risk_chain()} SELECT node_id, round(risk + 1e-9, 6) AS risk, {level('risk')} AS risk_level FROM scores",
     "risk_levels": f"""
         WITH {CATALOG}, {risk_chain()}, names(risk_level) AS (VALUES ('CRITICAL'), ('HIGH'), ('MEDIUM'), ('LOW'), ('SAFE'))
@@ -372,6 +424,10 @@ ORACLE: dict[str, str] = {
         WITH {CATALOG}, {HOME_PAIRS}, {walk("w", ALL_NATIONS, "src", "dst", DEEPEST)}
         SELECT p.src, p.dst, w.node_id IS NOT NULL AS reachable
         FROM pairs p LEFT JOIN w ON w.query_id = p.src AND w.node_id = p.dst""",
+    "indexed_reach": f"""
+        WITH {CATALOG}, {HOME_PAIRS}, {walk("w", ALL_NATIONS, "src", "dst", DEEPEST)}
+        SELECT p.src, p.dst, w.node_id IS NOT NULL AS reachable
+        FROM pairs p LEFT JOIN w ON w.query_id = p.src AND w.node_id = p.dst""",
     "reach_report": f"""
         WITH {CATALOG}, {HOME_PAIRS}, {walk("w", ALL_NATIONS, "src", "dst", DEEPEST)}, {label_chain()}
         SELECT p.src, p.dst, w.node_id IS NOT NULL AS reachable,
@@ -442,3 +498,27 @@ ORACLE: dict[str, str] = {
         WHERE (b, c) NOT IN (SELECT (src, dst) FROM edges)""",
     "diffusion_stop": diffusion_sql(),
 }
+
+# For the queries over all ids and the whole answers.
+WHOLE_ORACLE: dict[str, str] = {
+    "every_parent": f"WITH {EDGES}, ids AS ({ALL_CUSTOMERS}) SELECT i.node_id, e.src AS parent, round(weight, 6) AS weight "
+    "FROM ids i JOIN edges e ON e.dst = i.node_id",
+    "every_cycle_node": cycle_sql(),
+    "every_proof_target": proof_targets_sql(ALL_CUSTOMERS),
+    "every_proof_row": proof_rows_sql(ALL_CUSTOMERS),
+    "every_proof_verdict": proof_verdict_sql(ALL_CUSTOMERS),
+    "every_impact": f"""
+        WITH {CATALOG}, {risk_chain()}, {walk("w", ALL_SUPPLIERS, "src", "dst", DEEPEST)} {impact_rows("NULL::INTEGER")}""",
+    "every_ancestor": f"""
+        WITH {CATALOG}, {risk_chain()}, {walk("w", ALL_CUSTOMERS, "dst", "src", DEEPEST)} {impact_rows("NULL::INTEGER")}""",
+    "every_catalog_path": catalog_path_sql(ALL_PAIRS),
+    "every_interval_member": f"""
+        WITH {CATALOG}, {label_chain()}
+        SELECT q.node_id AS query_id, m.node_id FROM labels q JOIN labels m ON q.disc < m.disc AND m.fin <= q.fin""",
+    "impact_query_rows": f"""
+        WITH {CATALOG}, {risk_chain()}, {walk("w", SEED_IDS, "src", "dst", 2)}
+        SELECT w.query_id, w.node_id, n.node_type, r.risk, w.hops::BIGINT AS hops
+        FROM w JOIN nodes n ON n.node_id = w.node_id JOIN even r ON r.node_id = w.node_id""",
+    "diffusion_scores": diffusion_rows_sql(),
+    "impact_report_rows": report_rows_sql(),
+}
