@@ -87,14 +87,19 @@ def into_blocks(scratch: Scratch, rows: DataFrame, form: Form) -> Blocks:
     kept = scratch.save(lengths(rows, form), scratch.place("rows"))
     block_rows = max(1, min(BLOCK_ROWS, BLOCK_NUMBERS // form.width, max(LEAST_BLOCK_ROWS, kept.rows // BLOCKS_WANTED)))
     parts = max(1, -(-kept.rows // block_rows))
-    ranged = kept.df.repartitionByRange(parts, F.desc("length"), F.col("vec_id")).withColumn("block", F.spark_partition_id())
+    ranged = kept.df.repartitionByRange(parts, F.desc("length"), F.col("vec_id")).withColumn("_range", F.spark_partition_id())
     stored = scratch.save(ranged, scratch.place("blocks")).df
-    found = {r.block: r.longest for r in stored.groupBy("block").agg(F.max("length").alias("longest")).collect()}
-    longest = np.zeros(max(found, default=-1) + 1)
-    for i in range(len(longest) - 1, -1, -1):
-        # An empty range counts as long as the next one.
-        longest[i] = found[i] if i in found else longest[i + 1]
-    return Blocks(stored.drop("length"), longest, block_rows, form, scratch)
+    found = stored.groupBy("_range").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("longest")).orderBy("_range").collect()
+    # Ranges that follow each other make a block as long as it stays small. There is one row per range here.
+    longest, numbers, held = [], [], block_rows
+    for r in found:
+        if held + r.n > block_rows:
+            longest.append(r.longest)
+            held = 0
+        held += r.n
+        numbers.append((r["_range"], len(longest) - 1))
+    places = rows.sparkSession.createDataFrame(numbers, "_range int, block int")
+    return Blocks(stored.drop("length").join(places, "_range").drop("_range"), np.array(longest), block_rows, form, scratch)
 
 
 FOUND = "query_id long, slot int, vec_id long, score long"

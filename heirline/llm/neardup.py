@@ -133,7 +133,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     return both.mapInArrow(compare, "a long, b long")
 
 
-def _likely(texts: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+def likely(texts: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """The rows of ``texts`` whose id leaves the same rest as one of ``ids``: most others need not be shuffled.
 
     There are at most ``RESTS`` rests, so they may be broadcast.
@@ -152,8 +152,8 @@ def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     shares = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("_shares"))
     share = F.pmod(F.xxhash64("a"), F.col("_shares").cast("long")).cast("int")
     dealt = pairs.join(shares, "b").select("a", "b", share.alias("_share"))
-    left = _likely(texts, pairs, "a").select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = _likely(texts, pairs, "b").join(shares, F.col("doc_id") == F.col("b"))
+    left = likely(texts, pairs, "a").select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    right = likely(texts, pairs, "b").join(shares, F.col("doc_id") == F.col("b"))
     right = right.select("b", F.col("text").alias("text_b"), F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("_share"))
     return dealt.join(left, "a").join(right, ["b", "_share"]).select("a", "b", "text_a", "text_b")
 

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 19
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+STEP = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD1342543DE82EF95)
 
 
@@ -144,7 +144,7 @@ def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     out = words.hash[start].copy()
     for k in range(1, n):
         inside = start + k < last
-        with_next = mix(out * _STEP + words.hash[np.minimum(start + k, len(words.hash) - 1)])
+        with_next = mix(out * STEP + words.hash[np.minimum(start + k, len(words.hash) - 1)])
         out = np.where(inside, with_next, out)
     return first, out
 
