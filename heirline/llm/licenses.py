@@ -1,10 +1,11 @@
 """License scans: a positional index of rare tokens.
 
-The templates are short word sequences with a label. The index holds, for each template, the
-places of its words. A document is looked up by its rarest license words: for each template the word that the fewest
-documents hold is the anchor, and every place of the anchor proposes one place of the template. There the template's other
-words are intersected by relative position: the score of a template is the part of its weight, by rarity, that
-stands where it should. A base phrase counts where all its words stand; a label of the method's own needs a score and its key phrase, word for word.
+The templates are notices and sentences of license texts, each with a label and a key phrase. The index is inverted: it holds
+for a word the templates and places where it stands. Of each template only the rarest words are posted, as many as carry more weight
+than a placement may lack, so whatever stands well enough in a document holds one of them. The rare license words of a document are looked up;
+every posting proposes a start of its template, and starts that agree are intersected by relative position. Where the posted words
+in place leave enough weight possible, the whole template is compared and the key phrase verified, word for word. A document does no work for templates
+of which it holds no rare word. Rarity is counted over all documents, in a pass of its own.
 """
 
 from __future__ import annotations
@@ -33,19 +34,95 @@ class Template:
     key: str
 
 
-# Notices and the phrase that tells each of them apart.
+# Notices and sentences of license texts, as words, with the phrase that tells each of them apart (fixed values).
 TEMPLATES = (
     Template("mit", "released under the mit license", "mit license"),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "free of charge"),
+    Template(
+        "mit",
+        "and associated documentation files the software to deal in the software without restriction including without limitation the rights "
+        "to use copy modify merge publish distribute sublicense and or sell copies of the software",
+        "to deal in the software without restriction",
+    ),
+    Template(
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
+        "provided that the above copyright notice and this permission notice appear in all copies",
+        "with or without fee is hereby granted",
+    ),
     Template("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2"),
+    Template(
+        "apache-2.0",
+        "you may not use this file except in compliance with the license you may obtain a copy of the license at",
+        "except in compliance with the license",
+    ),
+    Template(
+        "apache-2.0",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+        "without warranties or conditions of any kind either express or implied",
+        "unless required by applicable law or agreed to in writing",
+    ),
     Template("gpl-3.0", "licensed under the gnu general public license version 3", "general public license version 3"),
     Template("gpl-2.0", "licensed under the gnu general public license version 2", "general public license version 2"),
+    Template(
+        "gpl-3.0",
+        "it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license "
+        "or at your option any later version",
+        "free software foundation either version 3",
+    ),
+    Template(
+        "gpl-2.0",
+        "it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license "
+        "or at your option any later version",
+        "free software foundation either version 2",
+    ),
     Template("lgpl", "licensed under the gnu lesser general public license", "lesser general public license"),
+    Template(
+        "lgpl",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license",
+        "gnu lesser general public license",
+    ),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
+    Template(
+        "bsd",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "redistributions of source code must retain",
+    ),
+    Template(
+        "bsd",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
+        "in the documentation and or other materials provided with the distribution",
+        "redistributions in binary form must reproduce",
+    ),
     Template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     Template("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     Template("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
+    Template("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
+    Template("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", "attribution sharealike"),
+    Template(
+        "cc0",
+        "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+        "waived all copyright and related or neighboring rights",
+    ),
     Template("public-domain", "dedicated to the public domain", "public domain"),
+    Template(
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or "
+        "distribute this software",
+        "free and unencumbered software",
+    ),
+    Template(
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages "
+        "arising from the use of this software",
+        "in no event will the authors be held liable",
+    ),
+    Template(
+        "bsl-1.0",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation "
+        "covered by this license",
+        "person or organization obtaining a copy",
+    ),
 )
 # Part of a template's weight that must stand in place for its label.
 LEAST_SCORE = 0.6
@@ -56,19 +133,25 @@ RESULT = (
 
 
 @dataclass
-class _Posting:
-    """A template or base phrase as word numbers, its key's place, and its anchor by rarity."""
+class _Entry:
+    """A template or base phrase as word numbers, its key's place, the weight of its words and the least that must stand in place."""
 
     label: str
     words: np.ndarray
     key: slice
     base: bool
     weight: np.ndarray
-    anchor: int
+    least: float
+
+    def rare(self) -> np.ndarray:
+        """The places of the rarest words, as many as carry more weight than may be missing. Equal weights go by place."""
+        order = np.argsort(-self.weight, kind="stable")
+        missing = 1 - self.least
+        return order[: int(np.searchsorted(np.cumsum(self.weight[order]), missing + 1e-9)) + 1]
 
 
 class TokenIndex:
-    """Positional postings of all templates over their joint vocabulary."""
+    """Postings (template, place) of the rare words of all templates."""
 
     def __init__(self, base: dict[str, str], templates: tuple[Template, ...], holders: dict[str, int], documents: int):
         split = {t: t.split() for t in [*base, *(t.text for t in templates)]}
@@ -77,17 +160,21 @@ class TokenIndex:
         self.order = np.argsort(self.hashes)
         number = {w: i for i, w in enumerate(self.vocabulary)}
         self.idf = np.array([math.log((1 + documents) / (1 + holders.get(w, 0))) + 1 for w in self.vocabulary])
-        self.postings = [self._posting(number, p, p, label, True) for p, label in base.items()]
-        self.postings += [self._posting(number, t.text, t.key, t.label, False) for t in templates]
+        self.entries = [self._entry(number, p, p, label, True) for p, label in base.items()]
+        self.entries += [self._entry(number, t.text, t.key, t.label, False) for t in templates]
+        posted = sorted((int(e.words[place]), t, place) for t, e in enumerate(self.entries) for place in e.rare().tolist())
+        words, self.template, self.place = (np.array(c, np.int64) for c in zip(*posted, strict=True))
+        self.begin = np.searchsorted(words, np.arange(len(self.vocabulary) + 1))
+        self.posted_weight = np.array([self.entries[t].weight[p] for t, p in zip(self.template, self.place, strict=True)])
+        # What the words that are not posted can add at most, less what must stand in place.
+        self.spare = np.array([1 - e.weight[e.rare()].sum() - e.least for e in self.entries])
 
-    def _posting(self, number: dict[str, int], text: str, key: str, label: str, base: bool) -> _Posting:
+    def _entry(self, number: dict[str, int], text: str, key: str, label: str, base: bool) -> _Entry:
         words, inside = text.split(), key.split()
         at = next(i for i in range(len(words)) if words[i : i + len(inside)] == inside)
         numbers = np.array([number[w] for w in words])
         weight = self.idf[numbers]
-        # A label of the method's own needs the key, so its anchor is the key's rarest word.
-        anchor = at + int(np.argmax(weight[at : at + len(inside)]))
-        return _Posting(label, numbers, slice(at, at + len(inside)), base, weight / weight.sum(), anchor)
+        return _Entry(label, numbers, slice(at, at + len(inside)), base, weight / weight.sum(), 1.0 if base else LEAST_SCORE)
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """The vocabulary number of each word, -1 for others."""
@@ -95,20 +182,39 @@ class TokenIndex:
         found = self.order[place]
         return np.where(self.hashes[found] == hashes, found, -1)
 
-    def scan(self, numbers: np.ndarray) -> list[tuple[_Posting, int, float]]:
-        """(posting, start, score) wherever a base phrase stands, or a template whose key stands; start from 0."""
-        found = []
-        places = {w: np.flatnonzero(numbers == w) for w in np.unique(numbers[numbers >= 0]).tolist()}
-        for p in self.postings:
-            hits = places.get(int(p.words[p.anchor]))
-            if hits is None:
-                continue
-            at = (hits - p.anchor)[:, None] + np.arange(len(p.words))[None, :]
-            inside = (at >= 0) & (at < len(numbers))
-            same = inside & (numbers[np.clip(at, 0, len(numbers) - 1)] == p.words[None, :])
-            score = (same * p.weight).sum(axis=1)
-            good = same[:, p.key].all(axis=1) & (score >= (0.0 if p.base else LEAST_SCORE))
-            found += [(p, int(s), round(min(1.0, float(x)), 6)) for s, x in zip(hits[good] - p.anchor, score[good], strict=True)]
+    def scan(self, numbers: np.ndarray, first: np.ndarray) -> dict[int, list[tuple[_Entry, int, float]]]:
+        """Per text (entry, start, score) wherever a base phrase stands, or a template with its key; start from 0.
+
+        ``first[i]:first[i + 1]`` are the words of text i.
+        """
+        at = np.flatnonzero(numbers >= 0)
+        posted = self.begin[numbers[at] + 1] - self.begin[numbers[at]]
+        at, posted = at[posted > 0], posted[posted > 0]
+        if not len(at):
+            return {}
+        post = np.repeat(self.begin[numbers[at]] - np.cumsum(posted) + posted, posted) + np.arange(posted.sum())
+        at = np.repeat(at, posted)
+        text = np.searchsorted(first, at, "right") - 1
+        template, start = self.template[post], at - self.place[post]
+        # Postings that propose the same start.
+        order = np.lexsort((start, text, template))
+        template, text, start, weight = template[order], text[order], start[order], self.posted_weight[post][order]
+        new = np.flatnonzero(np.r_[True, (template[1:] != template[:-1]) | (text[1:] != text[:-1]) | (start[1:] != start[:-1])])
+        weight = np.add.reduceat(weight, new)
+        template, text, start = template[new], text[new], start[new]
+        maybe = weight + self.spare[template] >= -1e-9
+        template, text, start = template[maybe], text[maybe], start[maybe]
+        found: dict[int, list] = {}
+        for t in np.unique(template).tolist():
+            entry, mine = self.entries[t], template == t
+            texts, starts = text[mine], start[mine]
+            places = starts[:, None] + np.arange(len(entry.words))[None, :]
+            inside = (places >= first[texts][:, None]) & (places < first[texts + 1][:, None])
+            same = inside & (numbers[np.clip(places, 0, len(numbers) - 1)] == entry.words[None, :])
+            score = (same * entry.weight).sum(axis=1)
+            good = same[:, entry.key].all(axis=1) & (score >= (0.0 if entry.base else entry.least))
+            for i, s, x in zip(texts[good].tolist(), (starts - first[texts])[good].tolist(), score[good].tolist(), strict=True):
+                found.setdefault(i, []).append((entry, s, round(min(1.0, x), 6)))
         return found
 
 
@@ -161,9 +267,9 @@ def scan_licenses(
             for a, b in W.slices(batch.column(1)):
                 found = W.find_words(batch.column(1).slice(a, b - a), W.ALNUM)
                 numbers = index.numbers(found.hash)
-                hits = np.add.reduceat(np.append(numbers >= 0, False), found.first[:-1]) * (found.counts > 0)
+                found_in = index.scan(numbers, found.first)
                 for i in range(b - a):
-                    own = index.scan(numbers[found.first[i] : found.first[i + 1]]) if hits[i] else []
+                    own = found_in.get(i, ())
                     starts = [s for p, s, _ in own if p.base]
                     out["n_base"].append(len(starts))
                     out["first_word"].append(min(starts, default=None))

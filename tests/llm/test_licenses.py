@@ -4,6 +4,7 @@ import random
 import re
 
 import brute
+import numpy as np
 
 from heirline.llm import licenses
 
@@ -71,3 +72,43 @@ def test_templates_against_brute_force(spark, docs_of):
         want = {label for _, label in base_of(words)}
         want |= {t.label for t in licenses.TEMPLATES if placed_by_brute_force(words, t, weight) >= licenses.LEAST_SCORE}
         assert set(filter(None, r.labels.split(","))) == want
+
+
+def test_work_depends_on_shared_rare_words(spark):
+    """A text proposes starts only of templates whose rare words it holds; of few holders, words are rare."""
+    holders = {w: 1000 for t in licenses.TEMPLATES for w in t.text.split()} | {"mozilla": 1, "unencumbered": 1}
+    index = licenses.TokenIndex(licenses.BASE, licenses.TEMPLATES, holders, 2000)
+    for e in index.entries:
+        rare = e.rare()
+        # Without its rare words no placement is good enough.
+        assert e.weight.sum() - e.weight[rare].sum() < e.least + 1e-9 and (e.base or len(rare) < len(e.words))
+    words = "the terms of the mozilla public license v 2 0".split()
+    numbers = index.numbers(np.array([licenses.W.word_hash(w) for w in words], np.uint64))
+    found = index.scan(numbers, np.array([0, len(words)]))
+    assert {e.label for e, *_ in found[0]} == {"mpl-2.0"} and found[0][0][1] == -2
+    assert index.scan(np.full(5, -1), np.array([0, 5])) == {}
+
+
+def test_long_templates_with_edits(spark, docs_of):
+    """Several notices in one long text, cut off at either end."""
+    rng = random.Random(5)
+    for_text = [t for t in licenses.TEMPLATES if len(t.text.split()) > 15]
+    docs = []
+    for i in range(60):
+        words = ["filler"] * rng.randrange(30)
+        for t in rng.sample(for_text, 3):
+            q = t.text.split()
+            words += [w if rng.random() > 0.1 else "zzz" for w in q[rng.randrange(3) : len(q) - rng.randrange(3)]] + ["filler"] * rng.randrange(40)
+        docs.append((i, " ".join(words)))
+    docs.append((100, "filler " * 200_000 + for_text[0].text))
+    vocabulary = sorted({w for t in [*licenses.BASE, *(t.text for t in licenses.TEMPLATES)] for w in t.split()})
+    index = licenses.TokenIndex(licenses.BASE, licenses.TEMPLATES, *licenses.holders_of(docs_of(docs).select("text"), vocabulary))
+    weight = dict(zip(index.vocabulary, index.idf.tolist(), strict=True))
+    text_of = dict(docs)
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark, docs_of(docs)).collect()}
+    assert got[100].labels == for_text[0].label and got[100].spans[0].start == 200_000
+    for d in range(60):
+        words = words_of(text_of[d])
+        want = {label for _, label in base_of(words)}
+        want |= {t.label for t in licenses.TEMPLATES if placed_by_brute_force(words, t, weight) >= licenses.LEAST_SCORE}
+        assert set(filter(None, got[d].labels.split(","))) == want
