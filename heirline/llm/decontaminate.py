@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heirline.llm import words as W
+from heirline.plans.scratch import Scratch
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -29,6 +30,8 @@ RADIUS = 20
 BLOCKS = 7
 # Bytes of item texts that are searched in one pass over the documents.
 ITEM_BYTES = 4 << 20
+# Places of a text whose sums are in memory at once, beside those of one window.
+PLACES = 1 << 13
 FOUND = "doc_id long, item_id long, start_word long, n_words long, similarity double"
 
 
@@ -148,19 +151,25 @@ class ItemIndex:
         np.add.at(mark, low, 1)
         np.add.at(mark, high + 1, -1)
         starts = np.flatnonzero(np.cumsum(mark) > 0)
-        begin, end = int(starts[0]), int(starts[-1]) + span
-        totals = np.zeros((end - begin + 1, 64), np.int32)
-        np.cumsum(signs(hashes[begin:end]), axis=0, out=totals[1:])
-        prints = fingerprints(totals[starts - begin + span] - totals[starts - begin])
-        for window, i in own.near(prints).tolist():
-            start = int(starts[window])
-            part, item = hashes[start : start + span], own.sets[i]
-            shared = shared_weight(part, item)
-            whole = len(part) + len(item) - shared
-            if 100 * shared >= self.percent * whole:
-                key, now = (row, own.ids[i]), (shared / whole, start, min(words, count))
-                if key not in best or (now[0], -now[1]) > (best[key][0], -best[key][1]):
-                    best[key] = now
+        # Sums for some thousand places at a time, whatever the length of the text.
+        at = 0
+        while at < len(starts):
+            begin = int(starts[at])
+            part = starts[at : int(np.searchsorted(starts, begin + PLACES))]
+            at += len(part)
+            end = int(part[-1]) + span
+            totals = np.zeros((end - begin + 1, 64), np.int32)
+            np.cumsum(signs(hashes[begin:end]), axis=0, out=totals[1:])
+            prints = fingerprints(totals[part - begin + span] - totals[part - begin])
+            for window, i in own.near(prints).tolist():
+                start = int(part[window])
+                words_in, item = hashes[start : start + span], own.sets[i]
+                shared = shared_weight(words_in, item)
+                whole = len(words_in) + len(item) - shared
+                if 100 * shared >= self.percent * whole:
+                    key, now = (row, own.ids[i]), (shared / whole, start, min(words, count))
+                    if key not in best or (now[0], -now[1]) > (best[key][0], -best[key][1]):
+                        best[key] = now
 
 
 def item_parts(items: DataFrame, limit: int = ITEM_BYTES) -> Iterator[list[tuple[int, str | None]]]:
@@ -194,13 +203,22 @@ def leaks(
     doc_id, item_id and text are read. A benchmark is searched in parts of bounded size, one pass over the documents each.
     """
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = [_leaks_of(spark, narrow, part, n, percent, radius, blocks) for part in item_parts(items)]
-    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], FOUND)
-
-
-def _leaks_of(spark: SparkSession, docs: DataFrame, part: list, n: int, percent: int, radius: int, blocks: int) -> DataFrame:
-    shared = spark.sparkContext.broadcast(part)
-
+    parts, found = item_parts(items), []
+    part, following = next(parts, None), next(parts, None)
+    if following is None:
+        shared = spark.sparkContext.broadcast(part or [])
+        return _leaks_of(narrow, shared, n, percent, radius, blocks) if part else spark.createDataFrame([], FOUND)
+    # One part is held and broadcast at a time; its result is written.
+    scratch = Scratch(spark)
+    while part is not None:
+        shared = spark.sparkContext.broadcast(part)
+        found.append(scratch.save(_leaks_of(narrow, shared, n, percent, radius, blocks), scratch.place("leaks")).df)
+        shared.destroy()
+        part, following = following, next(parts, None)
+    return reduce(DataFrame.unionByName, found)
+
+
+def _leaks_of(docs: DataFrame, shared, n: int, percent: int, radius: int, blocks: int) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = ItemIndex(shared.value, n, percent, radius, blocks)
         for batch in batches:

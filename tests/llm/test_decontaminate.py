@@ -86,3 +86,24 @@ def test_blocks_find_everything_within_the_radius():
     got = {tuple(p) for p in own.near(prints).tolist()}
     apart = np.bitwise_count(prints[:, None] ^ own.prints[None, :])
     assert got == {tuple(p) for p in np.argwhere(apart <= 20).tolist()}
+
+
+def test_parts_and_very_long_texts(spark, docs_of, monkeypatch):
+    """A benchmark in several parts finds the same; sums of a long text are held for some places only."""
+    rng = random.Random(9)
+    items = [(i, " ".join(f"w{rng.randrange(10**9)}" for _ in range(30))) for i in range(6)]
+    long = " ".join([items[0][1], *(f"v{rng.randrange(10**9)}" for _ in range(150_000)), items[0][1], items[5][1]])
+    docs = docs_of([(1, long), (2, items[3][1]), (3, "nothing")])
+    table = spark.createDataFrame(items, "item_id long, text string")
+    seen = []
+    plain = decontaminate.signs
+    monkeypatch.setattr(decontaminate, "signs", lambda h: seen.append(len(h)) or plain(h))
+    index = decontaminate.ItemIndex(items, 5, 80, decontaminate.RADIUS, decontaminate.BLOCKS)
+    assert [(i, s) for _, i, s, *_ in index.search(decontaminate.pa.array([long]))] == [(0, 0), (5, 150_060)]
+    assert max(seen) <= decontaminate.PLACES + 60
+    monkeypatch.setattr(decontaminate, "signs", plain)
+    want = {(1, 0, 0), (1, 5, 150_060), (2, 3, 0)}
+    for size in (4 << 20, 500, 1):
+        monkeypatch.setattr(decontaminate, "ITEM_BYTES", size)
+        monkeypatch.setattr(decontaminate.item_parts, "__defaults__", (size,))
+        assert {(r.doc_id, r.item_id, r.start_word) for r in decontaminate.leaks(spark, docs, table).collect()} == want
