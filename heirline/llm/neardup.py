@@ -32,6 +32,8 @@ STAR_ROUNDS = 1
 RARE = 64
 # Comparisons with one document in one task.
 SHARE = 512
+# Members of one bucket in one task.
+BUCKET_SHARE = 1024
 # Rests of hashed ids that are told apart before texts are shuffled.
 RESTS = 1 << 19
 
@@ -275,7 +277,7 @@ def _rare_shingles(scratch: Scratch, grouping: _Grouping, rows: DataFrame) -> Da
     clusters = components(scratch, met.filter("a <> b").distinct())
     ids = rows.select("id").distinct().join(clusters, "id", "left")
     ids = ids.select("id", F.coalesce("component", "id").alias("cluster"))
-    docs = _likely(grouping.docs, ids, "id")
+    docs = likely(grouping.docs, ids, "id")
     texts = docs.join(ids, docs["doc_id"] == ids["id"]).select("id", "cluster", "text")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,7 +328,12 @@ def _sharing_common(scratch: Scratch, rows: DataFrame, members: DataFrame, perce
     partner = F.ceil(F.greatest(F.col("_least") * 100, F.col("n_shingles") * percent) / 100).alias("_n")
     kept = rows.join(smallest, "bucket").withColumn("_n", partner).filter(_possible(F.col("common"), percent)).drop("_least", "_n")
     left = _mixed(scratch, kept, F.col("id")).df
-    beside = left.select("bucket", F.col("id").alias("other"), F.col("n_shingles").alias("_n"), F.col("common").alias("_common"), F.col("component").alias("_component"))
+    # A large bucket is dealt in shares, each of which meets all its members.
+    shares = left.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BUCKET_SHARE).cast("int").alias("_shares"))
+    dealt = left.join(shares, "bucket").withColumn("_share", F.pmod(F.xxhash64("id"), F.col("_shares").cast("long")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("_share")
+    cells = ["bucket", F.col("id").alias("other"), F.col("n_shingles").alias("_n"), F.col("common").alias("_common")]
+    beside = left.join(shares, "bucket").select(*cells, F.col("component").alias("_component"), every)
     apart = (F.col("id") < F.col("other")) & (F.col("component") != F.col("_component"))
-    met = left.join(beside, "bucket").filter(apart & _possible(F.least("common", "_common"), percent))
+    met = dealt.join(beside, ["bucket", "_share"]).filter(apart & _possible(F.least("common", "_common"), percent))
     return met.select(F.col("other").alias("a"), F.col("id").alias("b"))

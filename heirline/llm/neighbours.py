@@ -31,6 +31,8 @@ LEAST_VISITED = 100
 # Entries, and queries, that meet in one group.
 BLOCK_ROWS = 4096
 MOST_CENTROIDS = 512
+# Walks in one task.
+WALKS_TOGETHER = 128
 
 
 @dataclass(frozen=True)
@@ -129,7 +131,7 @@ def nearest(
     Nearest is the largest inner product; ties go to the smaller vec_id, and ranks start at 1. All rows with another id than the
     query's are candidates; if there are fewer than ``k``, all are returned. Rows without an id take no part, nor do vectors that are null, zero,
     with null or non-finite components, or of another length than most of the sample. Repeated rows are
-    candidates each, and queries once. Only vec_id and embedding are read. No usable rows give no result.
+    candidates each; of queries with one id, the smallest vector is asked. Only vec_id and embedding are read. No usable rows give no result.
     """
     scratch = Scratch(spark)
     vectors = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
@@ -187,8 +189,10 @@ def _search(scratch: Scratch, vectors: DataFrame, queries: Column, index: MultiI
             made = [*taken.columns, pa.array(rows, pa.int32()), pa.array(cells, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(made, ["query_id", "query", "row", "cells"])
 
-    asked = entries.filter(queries).select("vec_id", "embedding").dropDuplicates(["vec_id"])
-    asked = asked.mapInArrow(visit, "query_id long, query array<double>, row int, cells array<int>")
+    asked = entries.filter(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    asked = scratch.save(asked, scratch.place("asked"))
+    # Few rows, but each is a walk: no tasks are merged.
+    asked = asked.df.repartition(max(1, -(-asked.rows // WALKS_TOGETHER)), "vec_id").mapInArrow(visit, "query_id long, query array<double>, row int, cells array<int>")
     asked = scratch.save(asked, scratch.place("visits")).df
     shares = {r: -(-n // BLOCK_ROWS) for r, n in asked.groupBy("row").agg(F.count(F.lit(1))).collect()}
     share = np.array([shares.get(r, 1) for r in range(shape[0])])

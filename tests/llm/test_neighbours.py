@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from heirline.llm import neighbours
+from heirline.llm import neighbours, queries
 
 SCHEMA = "vec_id long, embedding array<float>, label int, row int, cell int, query_id long"
 def is_query():
@@ -80,3 +83,18 @@ def test_walk_goes_down_in_order():
     assert len(set(pairs)) == 63 and sums == sorted(sums, reverse=True)
     near = list(neighbours.walk(left, right, counts, 0.5, 0))
     assert near == pairs[: len(near)] and len(near) == sum(max(sums) - s <= 0.5 for s in sums)
+
+
+def test_recall_on_the_given_table(spark):
+    """All queries of the given embeddings against brute force, and one answer for an id with two vectors."""
+    folder = "/root/testdata/sf0.01"
+    if not Path(folder).is_dir():
+        pytest.skip("no test tables")
+    rows = [(r.vec_id, r.embedding) for r in queries.table(spark, folder, "embeddings").collect()]
+    got: dict = {}
+    for r in queries.op8_nearest_vectors(spark, folder).collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    want = brute(rows, 20)
+    assert got.keys() == want.keys() and recall(got, want) >= 0.9
+    twice = [(0, [3, 1]), (0, [1, 3]), (1, [0, 2]), (2, [2, 0])]
+    assert found(spark, twice) == {0: [(1, 6.0), (2, 2.0)]}
