@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from heirline.functions.scalar import content_of, content_text, risk_level
 from heirline.graph import LineageGraph
-from heirline.operators import impact, labels, lookup, merkle, paths, reach, reachindex, report, risk, topo
+from heirline.operators import cycles, impact, labels, lookup, merkle, paths, reach, reachindex, report, risk, topo
 from heirline.sources import ingest
 from heirline.sources.catalog import catalog_edges, catalog_nodes, catalog_seeds, node_key, part_blocks, table
 from heirline.sources.synthetic import synthetic_dag
@@ -567,8 +567,8 @@ def every_parent(w: Workspace) -> DataFrame:
     return rounded(lookup.parents(w.graph, w.all_of("customer", "customer", "c_custkey")), "weight")
 
 
-def every_cycle_node(w: Workspace) -> DataFrame:
-    """All returned lots lead from the order back to the part."""
+def _returned(w: Workspace) -> LineageGraph:
+    """The catalog in which all returned lots lead from the order back to the part."""
     back = (
         w.table("lineitem")
         .filter(F.col("l_returnflag") == "R")
@@ -577,7 +577,24 @@ def every_cycle_node(w: Workspace) -> DataFrame:
         .withColumn("weight", F.lit(0.9))
     )
     edges = w.graph.edges.select("src", "dst", "weight").unionByName(back)
-    return topo.cycle_nodes(LineageGraph(w.graph.nodes, edges, unique=True))
+    return w.once("returned", lambda: LineageGraph(w.graph.nodes, edges, unique=True))
+
+
+def every_cycle_node(w: Workspace) -> DataFrame:
+    """All returned lots lead from the order back to the part."""
+    return topo.cycle_nodes(_returned(w))
+
+
+def every_cycle_member(w: Workspace) -> DataFrame:
+    """Only what lies on a cycle of returned lots, with the least id and the size of its component."""
+    return cycles.cycle_members(_returned(w))
+
+
+def witness_cycles(w: Workspace) -> DataFrame:
+    """One cycle of each component, as a text."""
+    rows = cycles.witness_cycles(_returned(w)).groupBy("component").agg(F.array_sort(F.collect_list(F.struct("position", "node_id"))).alias("way"))
+    way = F.concat_ws(">", F.transform("way", lambda c: c["node_id"]))
+    return rows.select("component", F.size("way").cast("long").alias("length"), way.alias("cycle"))
 
 
 def _every_proof(w: Workspace) -> merkle.Proof:
@@ -656,6 +673,8 @@ def impact_report_rows(w: Workspace) -> DataFrame:
 WHOLE: dict[str, Callable[[Workspace], DataFrame]] = {
     "every_parent": every_parent,
     "every_cycle_node": every_cycle_node,
+    "every_cycle_member": every_cycle_member,
+    "witness_cycles": witness_cycles,
     "every_proof_target": every_proof_target,
     "every_proof_row": every_proof_row,
     "every_proof_verdict": every_proof_verdict,

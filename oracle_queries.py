@@ -504,6 +504,16 @@ WHOLE_ORACLE: dict[str, str] = {
     "every_parent": f"WITH {EDGES}, ids AS ({ALL_CUSTOMERS}) SELECT i.node_id, e.src AS parent, round(weight, 6) AS weight "
     "FROM ids i JOIN edges e ON e.dst = i.node_id",
     "every_cycle_node": cycle_sql(),
+    "every_cycle_member": f"""
+        WITH RECURSIVE {CATALOG},
+        back AS (SELECT DISTINCT 'order_' || l_orderkey AS o, 'part_' || l_partkey AS p FROM lineitem WHERE l_returnflag = 'R'),
+        hop AS (SELECT DISTINCT e.src AS p, b.p AS q FROM edges e JOIN back b ON b.o = e.dst WHERE starts_with(e.src, 'part_')),
+        reach AS (SELECT p, q FROM hop UNION SELECT r.p, h.q FROM reach r JOIN hop h ON h.p = r.q),
+        parts AS (SELECT a.p AS node_id, min(a.q) AS least FROM reach a JOIN reach b ON a.p = b.q AND a.q = b.p GROUP BY a.p),
+        orders_on AS (SELECT DISTINCT b.o AS node_id, c.least FROM edges e JOIN back b ON b.o = e.dst
+                      JOIN parts c ON c.node_id = e.src JOIN parts d ON d.node_id = b.p AND d.least = c.least),
+        members AS (SELECT * FROM parts UNION ALL SELECT * FROM orders_on)
+        SELECT node_id, min(node_id) OVER (PARTITION BY least) AS component, count(*) OVER (PARTITION BY least) AS size FROM members""",
     "every_proof_target": proof_targets_sql(ALL_CUSTOMERS),
     "every_proof_row": proof_rows_sql(ALL_CUSTOMERS),
     "every_proof_verdict": proof_verdict_sql(ALL_CUSTOMERS),
