@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from heirline.functions.scalar import content_of, content_text, risk_level
 from heirline.graph import LineageGraph
-from heirline.operators import cycles, impact, labels, lookup, merkle, paths, reach, reachindex, report, risk, topo
+from heirline.operators import cycles, impact, labels, lookup, merkle, paths, reach, reachindex, refresh, report, risk, topo
 from heirline.sources import ingest
 from heirline.sources.catalog import catalog_edges, catalog_nodes, catalog_seeds, node_key, part_blocks, table
 from heirline.sources.synthetic import synthetic_dag
@@ -256,6 +256,22 @@ def merkle_hashes(w: Workspace) -> DataFrame:
     return w.graph.hashes.select("node_id", "hash")
 
 
+def _refreshed(w: Workspace) -> refresh.Refreshed:
+    old = w.once("bucketed_hashes", lambda: refresh.bucketed_hashes(w.graph, w.graph.hashes))
+    return w.once("refreshed", lambda: refresh.refreshed_hashes(w.graph, w.poisoned, old))
+
+
+def refreshed_hashes(w: Workspace) -> DataFrame:
+    """The hashes of the poisoned catalog, made from the trusted ones."""
+    return _refreshed(w).hashes
+
+
+def refresh_report(w: Workspace) -> DataFrame:
+    """How many artifacts ``refreshed_hashes`` hashed again, and how many of these changed."""
+    found = _refreshed(w)
+    return w.spark.createDataFrame([(found.recomputed, found.changed)], "recomputed long, changed long")
+
+
 def hash_listing(w: Workspace) -> DataFrame:
     return listing(report.hash_listing(w.graph).withColumn("part", F.col("part").cast("long")), "parents")
 
@@ -521,6 +537,8 @@ QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {
     "block_layers": block_layers,
     "cycle_nodes": cycle_nodes,
     "merkle_hashes": merkle_hashes,
+    "refreshed_hashes": refreshed_hashes,
+    "refresh_report": refresh_report,
     "hash_listing": hash_listing,
     "tamper_check": tamper_check,
     "hash_diff": hash_diff,

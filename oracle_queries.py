@@ -371,6 +371,10 @@ ORACLE: dict[str, str] = {
         , {LISTS}
         SELECT h.node_id, coalesce(l.part, 0) AS part, h.hash, coalesce(l.parents, '') AS parents
         FROM h LEFT JOIN lists l ON l.node_id = h.node_id""",
+    "refreshed_hashes": f"WITH {CATALOG}, {hash_chain('t', POISON)} SELECT node_id, hash FROM t",
+    "refresh_report": f"""
+        WITH {CATALOG}, {hash_chain("h")}, {hash_chain("t", POISON)}
+        SELECT count(*) AS recomputed, count(*) AS changed FROM h JOIN t ON t.node_id = h.node_id WHERE t.hash <> h.hash""",
     "tamper_check": f"""
         WITH {CATALOG}, {hash_chain("h")}, {hash_chain("t", POISON)}
         SELECT h.node_id, h.hash AS expected, t.hash AS current, t.hash <> h.hash AS tampered FROM h JOIN t ON t.node_id = h.node_id""",
