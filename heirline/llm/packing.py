@@ -153,6 +153,8 @@ def pack(
         out += placed(rest, part, -1)
         if out:
             yield pieces_table(out)
+        # The worker lives on for other tasks, which need the memory.
+        encoder.forget()
 
     scratch = Scratch(spark)
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
