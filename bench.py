@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heirline import LineageGraph
-from heirline.operators import impact, labels, merkle, paths, reach, report, risk, topo
+from heirline.operators import impact, merkle, paths, reach, reachindex, refresh, report, risk, topo
+from heirline.plans import bitmaps
 from heirline.sources import catalog_edges, catalog_nodes, catalog_seeds
 from heirline.suite import Workspace
 
@@ -79,11 +80,17 @@ def main() -> None:
     timed("khop_sweep", lambda: reach.hop_counts(graph, work.seeds, 3))
     timed("ancestors", lambda: impact.lineage(graph, work.first_customers(), None, work.scores))
     timed("reach_pairs", lambda: reach.can_reach(graph, work.home_pairs()))
-    timed("interval_labels", lambda: labels.interval_labels(graph))
+    timed("interval_labels", lambda: work.labels)
     timed("impact_report", lambda: impact.impact_reports(graph, work.seeds, work.scores))
     proof = timed("proofs", lambda: merkle.prove(graph, work.first_customers()))
     timed("verify", lambda: merkle.verify(proof))
     timed("graph_stats", lambda: report.graph_stats(graph, work.scores, work.seeds))
+    timed("reach_index", lambda: work.index and work.index.labels)
+    timed("indexed_pairs", lambda: reachindex.decide(graph, work.index, work.home_pairs()))
+    suppliers = work.all_of("supplier", "supplier", "s_suppkey")
+    timed("closures_of_suppliers", lambda: bitmaps.closure(graph, suppliers, "forward").reached)
+    old = refresh.bucketed_hashes(graph, graph.hashes)
+    timed("refreshed_hashes", lambda: refresh.refreshed_hashes(graph, work.poisoned, old).hashes)
     _ = (work.blocks.forward, work.blocks.backward)
     timed("shortest_paths", lambda: paths.shortest_paths(work.blocks, work.block_pairs()))
 

@@ -9,6 +9,7 @@ from heirline.operators.impact import impacted, lineage, result_rows, totals
 from heirline.operators.labels import labels_of
 from heirline.operators.merkle import Proof, parent_lists, verify
 from heirline.operators.reach import can_reach, starts
+from heirline.operators.reachindex import ReachIndex, decide
 from heirline.operators.risk import propagate, risk_summary, top_risks
 from heirline.schema import TOP_RISKS
 
@@ -51,9 +52,9 @@ def ancestor_query(graph, ids: DataFrame, k: int | None = None, scores: DataFram
     return result_rows(lineage(graph, ids, k, scores))
 
 
-def reach_query(graph, labels: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(src, dst, reachable, src_disc, src_fin, dst_disc, dst_fin)."""
-    answers = can_reach(graph, pairs)
+def reach_query(graph, labels: DataFrame, pairs: DataFrame, index: ReachIndex | None = None) -> DataFrame:
+    """(src, dst, reachable, src_disc, src_fin, dst_disc, dst_fin); answered from the ``index``, if there is one."""
+    answers = can_reach(graph, pairs) if index is None else decide(graph, index, pairs).drop("decided_by")
     for end in ("src", "dst"):
         ids = answers.select(F.col(end).alias("node_id")).distinct()
         ends = labels_of(labels, ids).select(

@@ -78,6 +78,10 @@ class Workspace:
     def labels(self) -> DataFrame:
         return self.once("labels", lambda: labels.interval_labels(self.graph))
 
+    @property
+    def index(self) -> reachindex.ReachIndex | None:
+        return self.once("index", lambda: reachindex.reach_index(self.graph, self.labels))
+
     @property
     def poisoned(self) -> DataFrame:
         """The artifacts after someone has edited every seed."""
@@ -436,7 +440,7 @@ def can_reach_pairs(w: Workspace) -> DataFrame:
 
 
 def _decided(w: Workspace) -> DataFrame:
-    return reachindex.decide(w.graph, w.once("index", lambda: reachindex.reach_index(w.graph, w.labels)), w.home_pairs())
+    return reachindex.decide(w.graph, w.index, w.home_pairs())
 
 
 def indexed_reach(w: Workspace) -> DataFrame:
@@ -445,7 +449,7 @@ def indexed_reach(w: Workspace) -> DataFrame:
 
 
 def reach_report(w: Workspace) -> DataFrame:
-    return report.reach_query(w.graph, w.labels, w.home_pairs())
+    return report.reach_query(w.graph, w.labels, w.home_pairs(), w.index)
 
 
 def shortest_paths(w: Workspace) -> DataFrame:
