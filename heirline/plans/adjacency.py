@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_DEGREE = 200_000
-MAX_HOT_VERTICES = 1_000_000
+# Hot vertices are broadcast: an id and a count each, so some ten megabytes at most with ids of 100 bytes.
+MAX_HOT_VERTICES = 100_000
 
 
 def hot_limit(edge_rows: int, hot_degree: int = HOT_DEGREE) -> int:

@@ -488,6 +488,7 @@ def impact_report(w: Workspace) -> DataFrame:
 
 
 def interval_labels(w: Workspace) -> DataFrame:
+    """Nested-set labels of the forest in which every artifact keeps its least parent; not numbers in the order of a search."""
     return w.labels
 
 
