@@ -8,7 +8,8 @@ import pytest
 from fixtures import pairs_of
 
 from heirline import LineageGraph
-from heirline.operators import paths
+from heirline.operators import impact, paths, reach, risk
+from heirline.plans import bitmaps
 from heirline.plans.scratch import Scratch
 
 
@@ -40,3 +41,26 @@ def test_a_path_level_belongs_to_an_end_not_to_a_pair(spark, written):
     found = {(r.src, r.dst): r.path for r in paths.shortest_paths(graph, pairs_of(spark, *asked)).collect()}
     assert found == {**{("s", t): ["s", middle[i], t] for i, t in enumerate(targets)}, ("alone", targets[0]): None, ("s", "zz"): None}
     assert max(written["path-forward"] + written["path-backward"]) <= 2 * len(targets)
+
+
+@pytest.fixture
+def layered(spark):
+    """130 sources over 40 middles and 30 ends, and a vertex alone."""
+    sources, middle, ends = [f"s{i:03d}" for i in range(130)], [f"m{i:02d}" for i in range(40)], [f"e{i:02d}" for i in range(30)]
+    edges = {(s, middle[i * k % 40]) for i, s in enumerate(sources) for k in (1, 7)} | {(m, ends[i * k % 30]) for i, m in enumerate(middle) for k in (1, 3)}
+    return graph_of(spark, ["alone", *sources, *middle, *ends], sorted(edges))
+
+
+@pytest.mark.parametrize("operator", [impact.impacted, impact.lineage])
+def test_listings_of_many_ids_do_not_shuffle_their_pairs(layered, monkeypatch, operator):
+    ids = layered.nodes.select("node_id")
+    scores = risk.propagate(layered, ids.filter("node_id < 'm'"))
+    monkeypatch.setattr(bitmaps, "TASK_PAIRS", 300)
+    found = operator(layered, ids, None, scores)
+    plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert [line for line in plan if "Exchange" in line or "Generate" in line][0].count("getbit")
+    assert found.rdd.getNumPartitions() > 1
+    swept = found.collect()
+    monkeypatch.setattr(reach, "MANY_IDS", 10**6)
+    walked = operator(layered, ids, None, scores).collect()
+    assert swept == walked and len({r.query_id for r in swept}) > 64
