@@ -8,7 +8,7 @@ import pytest
 from fixtures import pairs_of
 
 from heirline import LineageGraph
-from heirline.operators import impact, paths, reach, risk
+from heirline.operators import impact, merkle, paths, reach, risk
 from heirline.plans import bitmaps
 from heirline.plans.scratch import Scratch
 
@@ -64,3 +64,17 @@ def test_listings_of_many_ids_do_not_shuffle_their_pairs(layered, monkeypatch, o
     monkeypatch.setattr(reach, "MANY_IDS", 10**6)
     walked = operator(layered, ids, None, scores).collect()
     assert swept == walked and len({r.query_id for r in swept}) > 64
+
+
+def test_proofs_of_many_ids_are_swept(layered, written, monkeypatch):
+    ids = layered.nodes.select("node_id")
+
+    def rows():
+        proof = merkle.prove(layered, ids)
+        assert all(r.valid for r in merkle.verify(proof).collect())
+        return [sorted(tuple(r) for r in df.collect()) for df in (proof.entries, proof.links)]
+
+    swept = rows()
+    assert not written["walk-backward"]
+    monkeypatch.setattr(reach, "MANY_IDS", 10**6)
+    assert rows() == swept and written["walk-backward"]
