@@ -61,3 +61,26 @@ def test_labels_of_a_long_chain(spark):
     graph = LineageGraph(*Fixture([(n, "model", {}) for n in names], edges, {}).frames(spark))
     marks = {r.node_id: (r.disc, r.fin) for r in labels.interval_labels(graph).collect()}
     assert marks == {n: (i + 1, 200 - i) for i, n in enumerate(names)}
+
+
+def test_large_pieces_are_cut(spark):
+    """A deep piece above the limit takes no round per layer, with the same layers and the same vertices below a cycle."""
+    names = [f"c{i:03d}" for i in range(120)]
+    edges = [(a, b, 0.9) for a, b in zip(names, names[1:], strict=False)]
+    edges += [(names[i], names[i + 2], 0.5) for i in range(0, 117, 5)] + [(names[7], names[100], 0.5)]
+    # Vertices of lower layers that lead into the middle, and one that hangs on it.
+    nodes = [*names, "r0", "r1", "z0"]
+    edges += [("r0", "r1", 0.5), ("r1", "c075", 0.5), ("c060", "z0", 0.5)]
+    for back in ([], [("c065", "c055", 0.5)]):
+        fixture = Fixture([(n, "model", {}) for n in nodes], [*edges, *back], {})
+        graph = LineageGraph(*fixture.frames(spark), deep_after=2, piece_rows=60)
+        kept, save = [], graph.scratch.save
+        graph.scratch.save = lambda df, path, kept=kept, save=save, **options: kept.append(path) or save(df, path, **options)
+        if back:
+            below = {n for n in names if n >= "c055"} | {"z0"}
+            assert {r.node_id for r in topo.cycle_nodes(graph).collect()} == below
+        else:
+            assert {r.node_id: r.layer for r in graph.layers.collect()} == Brute(fixture).layer
+            assert graph.depth == 120 and graph.tail is None
+        assert sum("/layer=" in path for path in kept) < 10
+        assert any("smaller" in path for path in kept)
