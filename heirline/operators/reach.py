@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heirline.plans.bitmaps import closure
+from heirline.plans.bitmaps import BITS, WORD_NAMES, closure
 from heirline.plans.frontier import walk
 from heirline.plans.push import can_push
 
@@ -59,23 +59,47 @@ def hop_counts(graph, ids: DataFrame, max_hops: int) -> DataFrame:
     )
 
 
+def swept_pairs(graph, pairs: DataFrame) -> DataFrame:
+    """(src, dst, hit) per distinct pair (src, dst), from one sweep of bitmaps that begins at the side with fewer ids.
+
+    For graphs that :func:`heirline.plans.push.can_push`.
+    """
+    ends = pairs.agg(F.approx_count_distinct("src").alias("src"), F.approx_count_distinct("dst").alias("dst")).first()
+    near, far, direction = ("src", "dst", "forward") if ends.src <= ends.dst else ("dst", "src", "backward")
+    made = closure(graph, pairs.select(F.col(near).alias("node_id")), direction)
+    numbered = pairs.join(made.starts.withColumnRenamed("query_id", near), near)
+    reached = made.reached.select(F.col("node_id").alias(far), "block", F.array(*WORD_NAMES).alias("_words"))
+    numbered = numbered.withColumn("block", F.floor(F.col("number") / BITS))
+    met = numbered.join(reached, [far, "block"], "left")
+    word = F.get("_words", F.floor(F.col("number") % BITS / 64).cast("int"))
+    hit = F.coalesce(F.expr("(shiftright(_word, cast(number % 64 AS INT)) & 1) = 1"), F.lit(False))
+    return met.withColumn("_word", word).select("src", "dst", hit.alias("hit"))
+
+
 def can_reach(graph, pairs: DataFrame, reflexive: bool = True) -> DataFrame:
     """(src, dst, reachable) per distinct pair; an unknown id reaches nothing.
 
     Every edge leads to a higher layer. So a target that is not below its source needs
-    no walk, and a source stops after as many hops as its deepest target is layers away.
+    no look. From ``MANY_IDS`` open pairs on, they are swept; fewer are walked, and a source stops after
+    as many hops as its deepest target is layers away.
     """
     asked = pairs.select("src", "dst").distinct()
     low = graph.layers.select(F.col("node_id").alias("src"), F.col("layer").alias("_from"))
     high = graph.layers.select(F.col("node_id").alias("dst"), F.col("layer").alias("_to"))
     placed = asked.join(low, "src", "left").join(high, "dst", "left")
-    known = graph.scratch.save(
-        placed.withColumn("_gap", F.col("_to") - F.col("_from")), graph.scratch.place("pairs")
-    ).df
+    stored = graph.scratch.save(
+        placed.withColumn("_gap", F.col("_to") - F.col("_from")),
+        graph.scratch.place("pairs"),
+        figures={"open": F.count_if(F.col("_gap") > 0)},
+    )
+    known = stored.df
     open_pairs = known.filter(F.col("_gap") > 0)
-    begin = open_pairs.groupBy(F.col("src").alias("query_id")).agg(F.max("_gap").alias("budget"))
-    seen = walk(graph, begin.withColumn("node_id", F.col("query_id")), "forward")
-    hits = seen.select(F.col("query_id").alias("src"), F.col("node_id").alias("dst"), F.lit(True).alias("_hit"))
+    if stored.figures["open"] >= MANY_IDS and can_push(graph):
+        hits = swept_pairs(graph, open_pairs.select("src", "dst")).filter("hit").withColumnRenamed("hit", "_hit")
+    else:
+        begin = open_pairs.groupBy(F.col("src").alias("query_id")).agg(F.max("_gap").alias("budget"))
+        seen = walk(graph, begin.withColumn("node_id", F.col("query_id")), "forward")
+        hits = seen.select(F.col("query_id").alias("src"), F.col("node_id").alias("dst"), F.lit(True).alias("_hit"))
     same = (F.col("src") == F.col("dst")) & F.col("_gap").isNotNull()
     found = (F.col("_gap") > 0) & F.col("_hit").isNotNull()
     answer = F.when(same, F.lit(reflexive)).otherwise(F.coalesce(found, F.lit(False)))

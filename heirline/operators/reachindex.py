@@ -13,8 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heirline.operators.reach import can_reach
-from heirline.plans.bitmaps import BITS, WORD_NAMES, closure
+from heirline.operators.reach import can_reach, swept_pairs
 from heirline.plans.push import can_push, push
 
 # 64-bit words of each Bloom set.
@@ -84,16 +83,6 @@ def decide(graph, index: ReachIndex | None, pairs: DataFrame, reflexive: bool =
     if not first.figures["open"]:
         return first.df.select("src", "dst", F.col("sure").alias("reachable"), F.col("by").alias("decided_by"))
     open_ = first.df.filter(F.col("by").isNull()).select("src", "dst")
-    ends = open_.agg(F.approx_count_distinct("src").alias("src"), F.approx_count_distinct("dst").alias("dst")).first()
-    # From the side with fewer ids.
-    near, far, direction = ("src", "dst", "forward") if ends.src <= ends.dst else ("dst", "src", "backward")
-    made = closure(graph, open_.select(F.col(near).alias("node_id")), direction)
-    numbered = open_.join(made.starts.withColumnRenamed("query_id", near), near)
-    reached = made.reached.select(F.col("node_id").alias(far), "block", F.array(*WORD_NAMES).alias("_words"))
-    numbered = numbered.withColumn("block", F.floor(F.col("number") / BITS))
-    met = numbered.join(reached, [far, "block"], "left")
-    word = F.get("_words", F.floor(F.col("number") % BITS / 64).cast("int"))
-    hit = F.coalesce(F.expr("(shiftright(_word, cast(number % 64 AS INT)) & 1) = 1"), F.lit(False))
-    found = met.withColumn("_word", word).select("src", "dst", hit.alias("_hit"))
+    found = swept_pairs(graph, open_).withColumnRenamed("hit", "_hit")
     joined = first.df.join(found, ["src", "dst"], "left")
     return joined.select("src", "dst", F.coalesce("sure", "_hit").alias("reachable"), F.coalesce("by", F.lit("sweep")).alias("decided_by"))

@@ -132,11 +132,15 @@ def closure(graph, ids: DataFrame, direction: str) -> Closure:
     """
     scratch = graph.scratch
     distinct = ids.select(F.col("node_id").alias("query_id")).distinct()
-    starts = scratch.save(running_total(scratch, distinct, ["query_id"], F.lit(1), "number"), scratch.place("starts")).df
+    numbered = scratch.save(running_total(scratch, distinct, ["query_id"], F.lit(1), "number"), scratch.place("starts"))
+    starts = numbered.df
+    # Few starts do not fill a block: words without any are not pushed.
+    used = WORD_NAMES[: max(1, -(-numbered.rows // 64))]
     word, bit = F.floor(F.col("number") % BITS / 64), F.expr("shiftleft(1L, cast(number % 64 AS INT))")
-    words = [F.when(word == i, bit).otherwise(F.lit(0).cast("long")).alias(w) for i, w in enumerate(WORD_NAMES)]
+    words = [F.when(word == i, bit).otherwise(F.lit(0).cast("long")).alias(w) for i, w in enumerate(used)]
     own = starts.select(F.col("query_id").alias("node_id"), F.floor(F.col("number") / BITS).cast("long").alias("block"), *words)
     own = own.join(graph.layers, "node_id")
-    merged = {w: F.bit_or(w) for w in WORD_NAMES}
-    reached = push(graph, direction, own.select("node_id", "layer", "block", *WORD_NAMES), ["block"], merged)
-    return Closure(starts, reached)
+    merged = {w: F.bit_or(w) for w in used}
+    reached = push(graph, direction, own.select("node_id", "layer", "block", *used), ["block"], merged)
+    empty = [F.lit(0).cast("long").alias(w) for w in WORD_NAMES[len(used) :]]
+    return Closure(starts, reached.select("node_id", "block", *used, *empty))

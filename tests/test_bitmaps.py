@@ -108,3 +108,29 @@ def test_reports_are_the_same_from_walks(spark, monkeypatch):
     swept = sorted(impact.impact_reports(graph, ids, scores, impacted_rows=4, ancestor_rows=2).collect())
     monkeypatch.setattr(impact, "can_push", lambda g: False)
     assert swept == sorted(impact.impact_reports(graph, ids, scores, impacted_rows=4, ancestor_rows=2).collect())
+
+
+def test_few_starts_push_few_words(spark):
+    edges = sorted(set(layered(6)))
+    names, graph = graph_of(spark, edges)
+    made = bitmaps.closure(graph, spark.createDataFrame([(n,) for n in names[:70]], "node_id string"), "forward")
+    written = spark.read.parquet(made.reached.inputFiles()[0]).columns
+    assert [c for c in written if c in bitmaps.WORD_NAMES] == ["w0", "w1"]
+    assert {tuple(r) for r in made.pairs().collect()} == {(n, m) for n in names[:70] for m in beyond(edges, n)}
+
+
+def test_many_pairs_are_swept_not_walked(spark, monkeypatch):
+    edges = sorted(set(layered(7)))
+    names, graph = graph_of(spark, edges)
+    rng = random.Random(7)
+    asked = {(rng.choice(names), rng.choice(names)) for _ in range(600)} | {("n0_1", "n0_1"), ("nobody", "n0_1"), ("n0_1", "nobody"), ("nobody", "nobody")}
+    pairs = spark.createDataFrame([*asked, *list(asked)[:9]], "src string, dst string")
+
+    def walked(*_):
+        raise AssertionError("a row for each start and vertex")
+
+    monkeypatch.setattr(reach, "walk", walked)
+    for reflexive in (True, False):
+        got = [tuple(r) for r in reach.can_reach(graph, pairs, reflexive).collect()]
+        assert len(got) == len(asked)
+        assert {(a, b): r for a, b, r in got} == {(a, b): (a == b and a in names and reflexive) or (a != b and b in beyond(edges, a)) for a, b in asked}
