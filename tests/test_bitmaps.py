@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from heirline import LineageGraph
@@ -110,6 +112,15 @@ def test_reports_are_the_same_from_walks(spark, monkeypatch):
     assert swept == sorted(impact.impact_reports(graph, ids, scores, impacted_rows=4, ancestor_rows=2).collect())
 
 
+def test_set_bits_of_sparse_and_full_rows():
+    rng = np.random.default_rng(5)
+    words = rng.integers(-(2**63), 2**63 - 1, (40, bitmaps.WORDS)) * (rng.random((40, bitmaps.WORDS)) < 0.2)
+    words[7], words[9] = -1, 0
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), *[pa.array(w) for w in words.T]], ["node_id", *bitmaps.WORD_NAMES])
+    want = [(i, 64 * w + b) for i in range(40) for w in range(bitmaps.WORDS) for b in range(64) if int(words[i, w]) >> b & 1]
+    assert list(zip(*(x.tolist() for x in bitmaps._set_bits(batch, 1)), strict=True)) == want
+
+
 def test_few_starts_push_few_words(spark):
     edges = sorted(set(layered(6)))
     names, graph = graph_of(spark, edges)
