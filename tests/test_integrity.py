@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pytest
 from fixtures import FIXTURES, ids, seeds_of
 from pyspark.sql import functions as F
@@ -139,3 +141,26 @@ def test_compromise_and_stats(spark, graphs):
     assert {r.node_id for r in graph.leaves.collect()} == {"p"}
     listing = {r.node_id: r.parents for r in report.hash_listing(graph).collect()}
     assert listing == {"ds": [], "t": [], "m": ["ds", "t"], "p": ["m"]}
+
+
+@pytest.mark.parametrize("options", [{}, {"hot_degree": 2}])
+def test_hashes_and_lists_need_no_table_by_target(spark, options):
+    graph, told = (LineageGraph(*FIXTURES["seven"].frames(spark), **options) for _ in range(2))
+    _ = told.backward
+    sides = [{r.node_id: r.hash for r in g.hashes.collect()} for g in (graph, told)]
+    lists = [sorted((r.node_id, r.part, *r.parents) for r in merkle.parent_lists(g).collect()) for g in (graph, told)]
+    assert sides[0] == sides[1] and lists[0] == lists[1]
+    assert "backward" not in graph.__dict__
+
+
+def test_hashes_as_bytes_give_the_same_digests(spark):
+    digests = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(60)]
+    links = [(f"n{i % 5}", d) for i, d in enumerate(digests)] + [("n1", digests[1])]
+    own = spark.createDataFrame([(f"n{i}", f"own {i};") for i in range(6)], "node_id string, own string")
+    parents = spark.createDataFrame(links, "node_id string, parent_hash string")
+    hubs = spark.createDataFrame([("n1",)], "node_id string")
+    want = {f"n{i}": hashlib.sha256((f"own {i};" + "".join(f"parent={d};" for d in sorted(d for n, d in links if n == f"n{i}"))).encode()).hexdigest() for i in range(6)}
+    packed = parents.withColumn("parent_hash", F.unhex("parent_hash"))
+    for given in (parents, packed):
+        for several in (None, hubs):
+            assert {r.node_id: r.hash for r in merkle.hash_from_parents(own, given, several).collect()} == want
