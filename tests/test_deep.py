@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from fixtures import Brute, Fixture, ids, pairs_of, random_fixture, seeds_of
 
@@ -84,3 +86,19 @@ def test_large_pieces_are_cut(spark):
             assert graph.depth == 120 and graph.tail is None
         assert sum("/layer=" in path for path in kept) < 10
         assert any("smaller" in path for path in kept)
+
+
+def test_labels_by_level_are_those_by_doubling(spark, monkeypatch):
+    """A forest of few levels is labelled level by level, a deeper one by doubling, with the same labels."""
+    rng = random.Random(21)
+    names = [f"v{i}" for i in range(300)]
+    edges = sorted({(names[rng.randrange(i)], names[i]) for i in range(20, 300) for _ in range(2)})
+    nodes = spark.createDataFrame([(n, "dataset") for n in names], "node_id string, node_type string")
+    graph = LineageGraph(nodes, spark.createDataFrame([(a, b, 0.5) for a, b in edges], "src string, dst string, weight double"))
+    forest = graph.scratch.save(labels.spanning_forest(graph), graph.scratch.place("forest"))
+    levels = labels.forest_levels(graph, forest)
+    assert len(levels) > 2 and sum(rows.count() for rows in levels) == 300
+    got = {tuple(r) for r in labels.interval_labels(graph).collect()}
+    monkeypatch.setattr(labels, "MOST_LEVELS", 1)
+    assert labels.forest_levels(graph, forest) is None
+    assert got == {tuple(r) for r in labels.interval_labels(graph).collect()} and len(got) == 300
